@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op7_byte_bpe": bpe.query,
+    "op10_wavelet": wavelet.query,
 }
 ORACLES: dict[str, str] = {}
