@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, wavelet
+from . import bpe, knn, pii, simhash, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_voronoi_knn": knn.query,
+    "op8_url_filter": urls.query,
+    "op9_pii": pii.query,
     "op7_byte_bpe": bpe.query,
     "op10_wavelet": wavelet.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE}
