@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, pii, simhash, urls, wavelet
+from . import bpe, knn, langid, pii, simhash, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_voronoi_knn": knn.query,
     "op8_url_filter": urls.query,
     "op9_pii": pii.query,
+    "op5_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
     "op10_wavelet": wavelet.query,
 }
