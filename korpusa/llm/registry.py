@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, langid, pii, simhash, urls, wavelet
+from . import bpe, decontaminate, knn, langid, pii, simhash, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op8_url_filter": urls.query,
     "op9_pii": pii.query,
     "op5_language_id": langid.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_byte_bpe": bpe.query,
     "op10_wavelet": wavelet.query,
 }
