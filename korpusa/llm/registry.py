@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, extract, knn, langid, pii, simhash, urls, wavelet
+from . import bpe, decontaminate, extract, knn, langid, pii, simhash, substrings, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_voronoi_knn": knn.query,
     "op8_url_filter": urls.query,
     "op9_pii": pii.query,
+    "op3_substring_dedup": substrings.query,
     "op4_html_extract": extract.query,
     "op5_language_id": langid.query,
     "op6_decontaminate": decontaminate.query,
