@@ -27,7 +27,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, table
+from .common import connected_components, durable, stored, table
 
 BITS, PARTS, WIDTH = 64, 4, 16
 #: Most fingerprints of one key that one task holds; a larger key is cut into blocks of about this size.
@@ -325,5 +325,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
     )
 
 
+# --- similar texts ----------------------------------------------------------------------------------
+
+#: Views of a text, shingles a view samples, and shingle hashes kept for the comparison.
+VIEWS, SAMPLED, KEPT = 10, 3, 128
+MIX = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 2**63, VIEWS).tolist()]
+
+
+def views_of(hashes: np.ndarray) -> np.ndarray:
+    """One SimHash a view, over the SAMPLED least shingles in that view's order."""
+    out = np.zeros(VIEWS, np.uint64)
+    for v in range(VIEWS):
+        order = hashes * MIX[v]
+        order ^= order >> np.uint64(31)
+        order *= MIX[v - 1]
+        least = order if len(order) <= SAMPLED else np.partition(order, SAMPLED - 1)[:SAMPLED]
+        out[v] = fingerprint(np.sort(least))
+    return out
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their KEPT least hashes; exact for sets no larger."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)
+    if len(x) == KEPT or len(y) == KEPT:
+        both = both[:KEPT]
+    common = np.intersect1d(x, y, assume_unique=True)
+    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, th, group)`` of every row; a group's rows are connected by texts at least that similar.
+
+    A similarity of 0.8 leaves two 64-bit fingerprints about 10 bits apart, where a pigeonhole search
+    would probe a large part of the table. So the fingerprint is made longer instead, from VIEWS
+    SimHashes of SAMPLED shingles each: bits of one view change together, each view is one partition of
+    correlated bits searched at threshold zero, and a pair at 0.8 agrees in some view with probability
+    over 0.999. In each bucket texts are compared with one member, another in every view, so work stays
+    linear in a bucket of any size; what is compared is the shingle sets themselves (their KEPT least
+    hashes). Equal texts are merged beforehand.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal texts of one task need one sketch; forgetting some costs time only
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                rows = []
+                for th, text in zip(b.column("th").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                    if th in seen:
+                        continue
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(th)
+                    h = np.unique(shingle_hashes(text.as_py(), shingle))
+                    rows.append((th, views_of(h).view(np.int64).tolist(), h[:KEPT].astype("<u8").tobytes()))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "least"])
+
+    sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, least binary")
+    sketches = stored(sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("least").alias("least")))
+    seen = sketches.select("th", F.posexplode("views").alias("v", "fp")).withColumn("k", F.xxhash64("th", "v"))
+    leaders = seen.groupBy("v", "fp").agg(F.min_by("th", "k").alias("lead"), F.count("*").alias("c")).where("c > 1").select("v", "fp", "lead")
+    pairs = seen.join(leaders, ["v", "fp"]).where("th <> lead").select("th", "lead").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            yield b.select(["a", "b"]).filter(pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    left = pairs.join(sketches.select(F.col("th"), F.col("least").alias("x")), "th")
+    both = left.join(sketches.select(F.col("th").alias("lead"), F.col("least").alias("y")), "lead")
+    links = both.select(F.col("th").alias("a"), F.col("lead").alias("b"), "x", "y").mapInArrow(verify, "a long, b long")
+    roots = connected_components(links)
+    return keyed.select("doc_id", "th").join(roots, F.col("th") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("group"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that of the smallest doc_id."""
+    labels = stored(similar(docs, shingle, similarity))
+    best = labels.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
+    keyed = docs.withColumn("th__", F.xxhash64(F.coalesce("text", F.lit(""))))
+    best = best.select(F.col("doc_id").alias("best__"), F.col("th").alias("th__"))
+    same = (F.col("d.th__") == F.col("b.th__")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.best__"))
+    kept = keyed.alias("d").join(best.alias("b"), same, "left_semi")
+    if not labels.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "th__"])  # rows that repeat an id and its text
+    return kept.drop("th__")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
