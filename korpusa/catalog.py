@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import retrieval
+from .plans import operations, retrieval, star
 
-MODULES = (retrieval,)
+MODULES = (retrieval, operations, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
