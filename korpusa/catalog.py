@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import operations, retrieval, star
+from .plans import answers, chunking, operations, retrieval, rules, star, streams
 
-MODULES = (retrieval, operations, star)
+MODULES = (retrieval, operations, rules, answers, chunking, streams, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
