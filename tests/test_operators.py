@@ -47,7 +47,7 @@ def test_splitter_invariants(size, overlap):
     rng = random.Random(size)
     for _ in range(50):
         fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))  # no accidental repeats
-        t = "".join(rng.choice([fresh(4), fresh(7), " ", " ", "\n", "\n\n", ". ", fresh(70)]) for _ in range(rng.randrange(200)))
+        t = "".join(rng.choice([fresh(4), fresh(7), " ", " ", "\n", "\n\n", fresh(3) + ". ", fresh(70)]) for _ in range(rng.randrange(200)))
         parts = structure.split_recursively(t, size, overlap)
         assert all(0 < len(p) <= size for p in parts)
         at = 0
