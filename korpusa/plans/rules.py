@@ -95,7 +95,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def display_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.select("event_id", S.display_score(F.col("value") / 100, F.col("event_id") % 5).alias("shown"))
+    return e.select("event_id", S.display_score(F.col("value") / 97, F.col("event_id") % 5).alias("shown"))
 
 
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,5 +178,5 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS pla
     "file_names": rf"SELECT id, trim(translate(regexp_replace(regexp_replace(name, '^.*/', ''), '\.[^.]*$', ''), '_-', '  ')) AS title, regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') AS safe, CASE id WHEN 1 THEN 14 WHEN 2 THEN 9 WHEN 3 THEN 0 WHEN 4 THEN 1990 ELSE 3 END::BIGINT AS chapter, TRY_CAST(replace(value, ',', '.') AS DOUBLE) AS value FROM {FILE_VALUES}",
     "natural_order": rf"SELECT id, row_number() OVER (ORDER BY CASE bab WHEN 'BAB I' THEN 1 WHEN 'BAB II' THEN 2 ELSE 0 END, coalesce(TRY_CAST(regexp_extract(pasal, '([0-9]+)', 1) AS INTEGER), 0), coalesce(TRY_CAST(ayat AS INTEGER), 0), id) AS place FROM {CHUNKS}",
     "citations": rf"SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{{1,4}})\]', 1), lambda x: CAST(x AS INTEGER)))), ','), '') AS cited, trim(regexp_replace(regexp_replace(CASE WHEN id = 3 THEN replace(answer, '[7]', '') ELSE answer END, '[ \t]{{2,}}', ' ', 'g'), ' ([.,;:])', '\1', 'g')) AS clean, 'a ' || answer AS plain FROM {ANSWERS}",
-    "display_scores": "SELECT event_id, round(greatest(0.0, (CASE WHEN v < 0.1 THEN least(75.0, 65.0 + v * 300) ELSE least(99.9, 75.0 + v * 8.5) END) - r * 0.14), 2) AS shown FROM (SELECT event_id, value / 100 AS v, event_id % 5 AS r FROM events)",
+    "display_scores": "SELECT event_id, round(greatest(0.0, (CASE WHEN v < 0.1 THEN least(75.0, 65.0 + v * 300) ELSE least(99.9, 75.0 + v * 8.5) END) - r * 0.14), 2) AS shown FROM (SELECT event_id, value / 97 AS v, event_id % 5 AS r FROM events)",
 }
