@@ -15,13 +15,16 @@ from ..functions.text import tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def term_statistics(docs: DataFrame) -> DataFrame:
-    """``(term, df, idf)`` over ``docs(id, toks)``; negative idf becomes FLOOR of the vocabulary's mean."""
-    n = docs.count()
-    df = docs.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    return raw.withColumn("idf", F.when(F.col("idf") < 0, FLOOR * mean).otherwise(F.col("idf")))
+def term_statistics(toks: DataFrame, n: int) -> DataFrame:
+    """``(term, idf)`` over ``toks(id, toks)``; negative idf becomes FLOOR of the vocabulary's mean.
+
+    Frequencies are shuffled once: the mean reuses that exchange and comes back as one broadcast row.
+    """
+    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "idf")
+    mean = raw.agg(F.avg("idf").alias("mean"))
+    both = raw.join(F.broadcast(mean))  # one row
+    return both.select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -30,17 +33,17 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     A term that a question repeats counts as often. Scores are rounded to 6 places.
     """
     toks = docs.select("id", tokens("text").alias("toks"))
-    mean = toks.agg(F.avg(F.size("toks"))).first()[0] or 1.0
-    stats = term_statistics(toks)
+    n, mean = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
+    stats = term_statistics(toks, n)
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weights = asked.join(stats.select("term", "idf"), "term")
+    weights = asked.join(stats, "term")
     postings = (
         toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
     scored = weights.join(postings, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.where("score > 0")
 
