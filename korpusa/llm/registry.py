@@ -16,4 +16,4 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op10_wavelet": wavelet.query,
 }
-ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE}
+ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE, "op3_substring_dedup": substrings.ORACLE}
