@@ -378,3 +378,22 @@ def merged(found: pa.StructArray) -> list[tuple[int, int]]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM b),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)),
+m AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM m),
+s AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS sid FROM g),
+sp AS (SELECT r, sid, min(i) AS a, max(i) + 200 AS z FROM s GROUP BY r, sid),
+p AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS prev FROM sp),
+k AS (
+  SELECT r, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept, sum(z - a) AS removed, count(*) AS spans, max(z) AS stop
+  FROM p JOIN n USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * stop + 1), h))) AS kept_sha256
+FROM n LEFT JOIN k USING (r)
+"""
