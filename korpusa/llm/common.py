@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +67,24 @@ def stored(df: DataFrame) -> DataFrame:
     where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for where in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are behind a stored table.
+
+    Spark removes them when the driver's garbage collector finds their plans unused, which on a large
+    heap may be long after; a multi-step operator would meanwhile hold the disk of all its steps.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

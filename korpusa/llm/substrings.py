@@ -26,16 +26,16 @@ an empty result; of the input only doc_id and text are read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, release, stored, table
 
 LENGTH, KMER = 200, 32
 #: Occurrences of a minimizer that one bucket takes; bytes of contexts indexed at once.
@@ -219,6 +219,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(run, "doc_id long, th int, at int, n int, kh long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, th, z)``: texts compressed one by one, before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for b in batches:
+            texts = [z.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(texts, pa.binary())], ["doc_id", "th", "z"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, z binary")
+
+
 def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Contexts of ``wanted(doc_id, th, at, n, kh, hot)`` as ``(kh, ch, doc_id, th, at, hot, ctx, again)``.
 
@@ -226,16 +238,17 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     further ones are only listed.
     """
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n", "kh", "hot")).alias("list"))
-    same = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.th") == F.col("l.th")))
+    same = packed(docs).alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.th") == F.col("l.th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], bool] = {}
-        digest = xxhash.xxh64_intdigest
+        digest, plain = xxhash.xxh64_intdigest, zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 b = whole.slice(lo, 256)
                 rows: list[tuple] = []
-                for doc, th, text, items in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("list"), strict=True):
+                for doc, th, z, items in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("z").to_pylist(), b.column("list"), strict=True):
+                    text = plain(z)
                     flat = items.values
                     cols = (flat.field(k).to_pylist() for k in ("at", "n", "kh", "hot"))
                     for at, n, kh, hot in zip(*cols, strict=True):
@@ -256,7 +269,7 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "ch", "doc_id", "th", "at", "hot", "ctx", "again"])
 
     schema = "kh long, ch long, doc_id long, th int, at int, hot boolean, ctx binary, again boolean"
-    return same.select("d.doc_id", "d.th", "text", "list").mapInArrow(run, schema)
+    return same.select("d.doc_id", "d.th", "z", "list").mapInArrow(run, schema)
 
 
 MARKS = "kh long, ch long, spans array<int>"
@@ -334,20 +347,23 @@ def removed(docs: DataFrame) -> DataFrame:
     every = stored(occurrences(docs))
     often = every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh", (F.col("c") > HOT).alias("hot"))
     listed = stored(cut(docs, every.join(often, "kh")))
-    gc.collect()  # drops the references to shuffles that are behind a stored table, so that Spark frees their files
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    discard(every)
+    release(docs.sparkSession)
     shipped = listed.where("ctx is not null or again")
-    marks = indexed(shipped).unionByName(counted(shipped))
+    marks = stored(indexed(shipped).unionByName(counted(shipped)))
+    release(docs.sparkSession)
     places = listed.select("kh", "ch", "doc_id", "th", "at").join(marks, ["kh", "ch"])
     per_doc = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "spans")).alias("found"))
-    both = docs.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")), "left")
+    both = packed(docs).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 b = whole.slice(lo, 512)
                 rows = []
-                for text, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("found"), strict=True):
+                for z, found in zip(b.column("z").to_pylist(), b.column("found"), strict=True):
+                    text = plain(z)
                     cover = merged(found.values) if found.is_valid else []
                     kept, at = [], 0
                     for x, y in cover:
@@ -359,7 +375,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.select("d.doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.select("d.doc_id", "z", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def merged(found: pa.StructArray) -> list[tuple[int, int]]:
