@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Remembered pieces and pairs a worker; a full table is emptied. Longer pieces are not remembered.
-MOST_PIECES, MOST_PAIRS, LONG = 600_000, 400_000, 48
+MOST_PIECES, MOST_PAIRS, LONG = 200_000, 200_000, 48
 ROWS_OUT = 512
 #: Unicode White_Space, fixed values.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -180,9 +180,7 @@ class Pieces(dict):
 
 class Encoder:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.vocabulary = Vocabulary(ranks)
+        self.vocabulary = Vocabulary(read_ranks(path))
         self.pieces = Pieces(self.vocabulary, pattern)
         self.odd = re.compile(rf" (?:[{SPACE}]|\Z)").search
         self.cut = re.compile(rf" (?![{SPACE}]|\Z)").split
@@ -193,12 +191,37 @@ class Encoder:
         return self.pieces.pack(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, memoryview(packed).cast("I")))
+        return unpack(self.vocabulary.tokens, packed)
+
+    def forget(self) -> None:
+        """Empties what was remembered, so that an idle worker holds the vocabulary only."""
+        self.pieces.clear()
+        self.pieces.words.clear()
+        self.vocabulary.agreed.clear()
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def unpack(tokens: list[bytes], packed: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, memoryview(packed).cast("I")))
+
+
+@cache
+def token_table(path: str) -> list[bytes]:
+    """Tokens by id, all that decoding needs."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for t, r in ranks.items():
+        out[r] = t
+    return out
 
 
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
-    """One a worker process; its tables outlive a task."""
+    """One a worker process; its vocabulary outlives a task, what it remembers does not."""
     return Encoder(path, pattern)
 
 
@@ -213,19 +236,21 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
                 ids = [e.encode(t.as_py() or "") for t in b.column("text")]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        e.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that ``ids`` stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        tokens = token_table(path)
         for whole in batches:
             for at in range(0, len(whole), ROWS_OUT):
                 b = whole.slice(at, ROWS_OUT)
-                decoded = pa.array([e.decode(x.as_py()) for x in b.column("ids")], pa.binary())
+                decoded = pa.array([unpack(tokens, x.as_py()) for x in b.column("ids")], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, decoded], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
