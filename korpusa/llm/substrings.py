@@ -16,8 +16,9 @@ index:
   so its match is one shorter than that of the position before: matching statistics stream along the
   text from run end to run end, and a window is marked where they reach LENGTH.
 
-A minimizer with more than HOT occurrences is not put into one bucket: the windows of its distinct
-contexts are counted by 128-bit hash instead, spread over all tasks (the exact way for such keys).
+A minimizer with more than HOT occurrences is not put into one bucket: content-defined pieces of its
+distinct contexts, and the windows of pieces that occur once, are counted by 128-bit hash instead,
+spread over all tasks (the exact way for such keys).
 
 Defined results: null text counts as empty; repeated rows are duplicates of each other and each keeps
 its own output row; texts shorter than LENGTH keep all bytes; doc_id may be null; an empty table gives
@@ -306,39 +307,79 @@ def indexed(shipped: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("kh").mapInArrow(run, MARKS)
 
 
+def pieces(text: bytes) -> list[int]:
+    """First windows of the pieces of a context: a window starts one when a hash of its first 8 bytes says so.
+
+    The text decides, so pieces inside a passage are equal wherever the passage stands.
+    """
+    n = len(text) - LENGTH + 1
+    head = np.frombuffer(text, np.uint8)[: n + 7].astype(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(8):
+        h = h * MULTIPLIERS[0] + head[k : k + n] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    h *= MULTIPLIERS[1]
+    cut = np.flatnonzero((h >> np.uint64(60)) < 3)  # about three windows in sixteen
+    return np.unique(np.append(0, cut)).tolist()
+
+
 def counted(shipped: DataFrame) -> DataFrame:
-    """The same for minimizers with too many occurrences for one bucket: windows counted by 128-bit hash."""
+    """The same for minimizers with too many occurrences for one bucket, by 128-bit hashes.
+
+    Contexts are cut into content-defined pieces. A piece that occurs twice is removed as a whole, one
+    row for all its windows; only the windows of pieces that occur once, those at the ends of passages,
+    are looked up one by one among the windows of all distinct pieces.
+    """
     whole = shipped.where("hot").groupBy("kh", "ch").agg(F.max("ctx").alias("ctx"), (F.count("*") > 1).alias("twice"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for whole_batch in batches:
+            for lo in range(0, len(whole_batch), 256):
+                b = whole_batch.slice(lo, 256)
+                rows = []
+                for kh, ch, ctx, twice in zip(*(b.column(c).to_pylist() for c in ("kh", "ch", "ctx", "twice")), strict=True):
+                    first = pieces(ctx)
+                    for x, y in zip(first, [*first[1:], len(ctx) - LENGTH + 1], strict=True):
+                        text = ctx[x : y + LENGTH - 1]
+                        rows.append((kh, ch, x, y, digest(text), text, twice))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "ch", "a", "b", "s", "text", "twice"])
+
+    parts = stored(whole.mapInArrow(cut_up, "kh long, ch long, a int, b int, s binary, text binary, twice boolean"))
+    kinds = stored(parts.groupBy("s").agg(F.max("text").alias("text"), ((F.count("*") > 1) | F.max("twice")).alias("again")))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for whole_batch in batches:
             for lo in range(0, len(whole_batch), 128):
                 b = whole_batch.slice(lo, 128)
-                ctx = b.column("ctx").to_pylist()
-                sizes = [len(c) - LENGTH + 1 for c in ctx]
+                texts = b.column("text").to_pylist()
+                sizes = [len(t) - LENGTH + 1 for t in texts]
                 rep = pa.array(np.repeat(np.arange(len(b)), sizes))
-                place = pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]))
-                h = np.frombuffer(b"".join([digest(c[i : i + LENGTH]) for c, s in zip(ctx, sizes, strict=True) for i in range(s)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("kh").take(rep), b.column("ch").take(rep), b.column("twice").take(rep), place, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                    ["kh", "ch", "twice", "place", "w1", "w2"],
-                )
+                place = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
+                w = pa.array([digest(t[i : i + LENGTH]) for t, n in zip(texts, sizes, strict=True) for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("s").take(rep), b.column("again").take(rep), place, w], ["s", "again", "place", "w"])
 
-    windows = stored(whole.mapInArrow(run, "kh long, ch long, twice boolean, place int, w1 long, w2 long"))
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("w1", "w2")
-    hits = windows.join(shared, ["w1", "w2"]).groupBy("kh", "ch").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    singles = stored(kinds.mapInArrow(windows, "s binary, again boolean, place int, w binary"))
+    shared = singles.groupBy("w").agg((F.count("*") > 1).alias("c")).where("c").select("w")
+    alone = singles.where("not again").join(shared, "w").groupBy("s").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    all_of = F.sequence(F.lit(0), F.length("text") - LENGTH)
+    hit = kinds.where("again").select("s", all_of.alias("places")).unionByName(alone)
+    found = parts.select("kh", "ch", "a", "s").join(hit, "s").groupBy("kh", "ch").agg(F.collect_list(F.struct("a", "places")).alias("found"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for places in b.column("places").to_pylist():
-                hit = np.zeros(places[-1] + 1, bool)
-                hit[places] = True
-                out.append(spans(hit))
+            for found in b.column("found").to_pylist():
+                at = np.concatenate([np.array(f["places"], np.int64) + f["a"] for f in found])
+                marks = np.zeros(int(at.max()) + 1, bool)
+                marks[at] = True
+                out.append(spans(marks))
             yield pa.RecordBatch.from_arrays([b.column("kh"), b.column("ch"), pa.array(out, pa.list_(pa.int32()))], ["kh", "ch", "spans"])
 
-    return hits.mapInArrow(merge, MARKS)
+    return found.mapInArrow(merge, MARKS)
 
 
 def removed(docs: DataFrame) -> DataFrame:
