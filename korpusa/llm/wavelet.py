@@ -37,7 +37,7 @@ from .common import shared_folder, table
 
 MAGIC, END_ID, SHARD_TOKENS, BLOCK_BITS = b"KWM1", 1, 1 << 20, 512
 #: Remembered pieces a worker; a full table is emptied. Longer pieces are not remembered.
-MOST_PIECES, LONG = 600_000, 48
+MOST_PIECES, LONG = 800_000, 48
 ROWS_AT_ONCE = 512
 #: ASCII punctuation that no contraction begins with.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -214,7 +214,7 @@ class PieceTokenizer:
         for w in fresh:
             a = w.rstrip(PUNCTUATION)
             # composition and lower-casing must leave no mark that would join what follows
-            if not a or (a.isalpha() and (a.isascii() or unicodedata.normalize("NFC", a).lower().isalpha())):
+            if a in parts or (a.isalpha() and (a.isascii() or unicodedata.normalize("NFC", a).lower().isalpha())):
                 b = w[len(a) :]
                 halves.append((w, a, b))
                 if a not in parts:
@@ -233,20 +233,20 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        pieces = [None if self.odd(t) else t.split() for t in texts]
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        words: set[str] = set()
-        for p in pieces:
-            words.update(p or ())
-        known = self.known
-        found = self._learn([w for w in words if w not in known])
-        long = {w: x for w, x in found.items() if len(w) > LONG}
-        known.update(found)
-        get = known.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else self._alone([t])[0] for t, p in zip(texts, pieces, strict=True)]
-        for w in long:
-            del known[w]
+        known, get = self.known, self.known.get
+        pieces = [None if self.odd(t) else t.split() for t in texts]
+        ids = [None if p is None else list(map(get, p)) for p in pieces]
+        fresh = {w for p, x in zip(pieces, ids, strict=True) if p for w, y in zip(p, x, strict=True) if y is None}
+        found = self._learn(list(fresh))
+        known.update((w, x) for w, x in found.items() if len(w) <= LONG)
+        out = []
+        for t, p, x in zip(texts, pieces, ids, strict=True):
+            if p is None:
+                out.append(self._alone([t])[0])
+            else:
+                out.append(b"".join(x) if None not in x else b"".join([found[w] if y is None else y for w, y in zip(p, x, strict=True)]))
         return out
 
 
