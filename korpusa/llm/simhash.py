@@ -329,6 +329,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
 
 #: Views of a text, shingles a view samples, and shingle hashes kept for the comparison.
 VIEWS, SAMPLED, KEPT = 10, 3, 128
+#: Most bytes of shingle sets in a block; a larger bucket is cut into blocks and every pair of blocks is visited.
+BLOCK_BYTES = 8 << 20
 MIX = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 2**63, VIEWS).tolist()]
 
 
@@ -356,6 +358,49 @@ def resemblance(a: bytes, b: bytes) -> float:
     return float(np.searchsorted(common, both[-1], side="right")) / len(both)
 
 
+def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all pairs of sets at least ``similarity`` alike; the sure ones are connected already.
+
+    Sets are 64-bit hashes, compared whole. With two sides only pairs across them are compared. Those that
+    hold what is most common come first, so that the base of many copies connects them at once.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    _, token, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(-np.bincount(owner, times[token], len(sets)) / np.maximum(size, 1), kind="stable")
+    starts = np.cumsum(size) - size
+    parts = [token[starts[i] : starts[i] + size[i]] for i in order.tolist()]
+    parts = [x[times[x] > 1] for x in parts]  # what one set alone holds is common to no pair
+    size, side, sure = size[order], side[order], sure[order]
+    flat, ends = np.concatenate([*parts, np.zeros(0, np.int64)]), np.cumsum([len(x) for x in parts])
+    label = np.where(sure, len(sets), np.arange(len(sets)))
+    mark, across, out = np.zeros(len(times), bool), len(np.unique(side)) > 1, []
+    for x in range(len(sets) - 1):
+        after = slice(x + 1, None)
+        small, large = np.minimum(size[x], size[after]), np.maximum(size[x], size[after])
+        new = (label[after] != label[x]) & (small >= similarity * large - 1e-6)
+        if across:
+            new &= side[after] != side[x]
+        if not new.any():
+            continue
+        mark[parts[x]] = True
+        if 4 * np.count_nonzero(new) < len(new):
+            common = np.zeros(len(new), np.int64)
+            for y in np.flatnonzero(new).tolist():
+                common[y] = np.count_nonzero(mark[parts[x + 1 + y]])
+        else:
+            sums = np.append(0, np.cumsum(mark[flat[ends[x] :]]))
+            common = np.diff(sums[ends[x:] - ends[x]])
+        mark[parts[x]] = False
+        union = size[x] + size[after] - common
+        hit = x + 1 + np.flatnonzero(new & (np.where(union > 0, common / np.maximum(union, 1), 1.0) >= similarity))
+        if len(hit):
+            labels, first = np.unique(label[hit], return_index=True)
+            out += [(int(order[x]), int(order[y])) for y in hit[first].tolist()]
+            label[np.isin(label, labels)] = label[x]
+    return out
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, th, group)`` of every row; a group's rows are connected by texts at least that similar.
 
@@ -363,9 +408,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     would probe a large part of the table. So the fingerprint is made longer instead, from VIEWS
     SimHashes of SAMPLED shingles each: bits of one view change together, each view is one partition of
     correlated bits searched at threshold zero, and a pair at 0.8 agrees in some view with probability
-    over 0.999. In each bucket texts are compared with one member, another in every view, so work stays
-    linear in a bucket of any size; what is compared is the shingle sets themselves (their KEPT least
-    hashes). Equal texts are merged beforehand.
+    over 0.99. Texts are first compared with one member of each of their buckets, by their KEPT least
+    hashes. A bucket that this does not connect is compared whole: every pair of its texts that is not
+    connected yet, on the whole shingle sets, in blocks of about BLOCK_BYTES and all pairs of blocks.
+    Equal texts are merged beforehand.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -382,26 +428,65 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                         seen.clear()
                     seen.add(th)
                     h = np.unique(shingle_hashes(text.as_py(), shingle))
-                    rows.append((th, views_of(h).view(np.int64).tolist(), h[:KEPT].astype("<u8").tobytes()))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "least"])
-
-    sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, least binary")
-    sketches = stored(sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("least").alias("least")))
-    seen = sketches.select("th", F.posexplode("views").alias("v", "fp")).withColumn("k", F.xxhash64("th", "v"))
-    leaders = seen.groupBy("v", "fp").agg(F.min_by("th", "k").alias("lead"), F.count("*").alias("c")).where("c > 1").select("v", "fp", "lead")
-    pairs = seen.join(leaders, ["v", "fp"]).where("th <> lead").select("th", "lead").distinct()
+                    rows.append((th, views_of(h).view(np.int64).tolist(), h[:KEPT].astype("<u8").tobytes(), len(h)))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "least", "n"])
+
+    sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, least binary, n long")
+    sketches = stored(sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("least").alias("least"), F.first("n").alias("n")))
+    seen = sketches.select("th", "n", F.posexplode("views").alias("v", "fp")).withColumn("k", F.xxhash64("th", "v"))
+    leaders = seen.groupBy("v", "fp").agg(F.min_by("th", "k").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
+    met = stored(seen.join(leaders.drop("c"), ["v", "fp"]).select("th", "v", "fp", "lead", "total"))
+    pairs = met.where("th <> lead").select("th", "lead").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            yield b.select(["a", "b"]).filter(pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+            yield b.select(["th", "lead"]).filter(pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
 
     left = pairs.join(sketches.select(F.col("th"), F.col("least").alias("x")), "th")
     both = left.join(sketches.select(F.col("th").alias("lead"), F.col("least").alias("y")), "lead")
-    links = both.select(F.col("th").alias("a"), F.col("lead").alias("b"), "x", "y").mapInArrow(verify, "a long, b long")
-    roots = connected_components(links)
+    led = stored(both.select("th", "lead", "x", "y").mapInArrow(verify, "th long, lead long"))
+    marked = met.join(led.withColumn("led", F.lit(True)), ["th", "lead"], "left").withColumn("sure", F.coalesce("led", F.col("th") == F.col("lead")))
+    loose = marked.groupBy("v", "fp").agg(F.count_if(~F.col("sure")).alias("left")).where("left > 0")
+    loose = stored(marked.join(loose, ["v", "fp"], "left_semi").select("th", "v", "fp", "sure", F.ceil(F.col("total") * 8 / BLOCK_BYTES).alias("blocks")))
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                made = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in b.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(made, pa.binary())], ["th", "hashes"])
+
+    sets = keyed.select("th", "text").join(loose.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    sets = stored(sets.mapInArrow(whole_sets, "th long, hashes binary"))
+    side, last = F.pmod(F.xxhash64("th", "v"), F.col("blocks")), F.col("blocks") - 1
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))).alias("other")
+    placed = loose.withColumn("side", F.coalesce(side, F.lit(0).cast("long"))).select("*", meets)
+    placed = placed.select("th", "v", "fp", "sure", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    blocks = placed.join(sets, "th").repartition("v", "fp", "i", "j").sortWithinPartitions("v", "fp", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive by bucket and pair of blocks."""
+        at, held = None, []
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("v", "fp", "i", "j")]
+            for key, *row in zip(zip(*cols, strict=True), *(b.column(c).to_pylist() for c in ("th", "hashes", "side", "sure")), strict=True):
+                if key != at:
+                    yield from links(held)
+                    at, held = key, []
+                held.append(row)
+        yield from links(held)
+
+    def links(held: list[list]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            th, hashes, side, sure = zip(*held, strict=True)
+            found = connecting([np.frombuffer(x, "<u8") for x in hashes], np.array(side), np.array(sure), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([th[x] for x, _ in found], pa.int64()), pa.array([th[y] for _, y in found], pa.int64())], ["a", "b"])
+
+    linked = blocks.mapInArrow(compare, "a long, b long").unionByName(led.select(F.col("th").alias("a"), F.col("lead").alias("b")))
+    roots = connected_components(linked)
     return keyed.select("doc_id", "th").join(roots, F.col("th") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("group"))
 
 

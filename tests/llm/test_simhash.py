@@ -102,3 +102,52 @@ def test_thresholds_sum(total):
     tables = S.candidate_tables(counts, 3)
     values = np.random.default_rng(1).integers(0, 1 << S.WIDTH, (50, S.PARTS))
     assert (S.allocate(values, tables, total).sum(axis=1) == total).all()
+
+
+def star(copies, size=120, seed=3):
+    """A base text and copies about 0.84 like it, but about 0.71 like one another."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, copies + 1):
+        words, at = list(base), rng.randrange(5, size // 2 - 5)
+        words[at], words[at + size // 2] = f"x{c}", f"y{c}"
+        rows.append((c, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [8 << 20, 1 << 18])
+def test_copies_of_one_base_are_all_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
+    df = spark.createDataFrame(star(2000), "doc_id long, text string")
+    left = [r.doc_id for r in S.one_of_each(df).collect()]
+    assert 0 in left and len(left) <= 2  # recall of the 2,000 links 0.999 or more
+
+
+def test_connecting_equals_all_pairs():
+    rng = random.Random(4)
+    for n in (0, 1, 60):
+        sets = []
+        for _ in range(n):
+            x = set(rng.choice(sets).tolist()) if sets and rng.random() < 0.6 else {rng.randrange(1 << 60) for _ in range(rng.randrange(40))}
+            x = {y for y in x if rng.random() < 0.95} | {rng.randrange(1 << 60) for _ in range(rng.randrange(3))}
+            sets.append(np.array(sorted(x), np.uint64))
+        for side in (np.zeros(n, int), np.arange(n) % 2):
+            parent = list(range(n))
+
+            def root(i, parent=parent):
+                while parent[i] != i:
+                    i = parent[i]
+                return i
+
+            found = S.connecting(sets, side, np.zeros(n, bool), 0.8)
+            for a, b in found:
+                assert root(a) != root(b)
+                parent[root(a)] = root(b)
+            assert not found or n > 1
+            for i in range(n):
+                for j in range(i):
+                    u = len(np.union1d(sets[i], sets[j]))
+                    like = u == 0 or len(np.intersect1d(sets[i], sets[j])) / u >= 0.8
+                    if like and (side[i] != side[j] or not side.any()):
+                        assert root(i) == root(j)
