@@ -329,6 +329,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
 
 #: Views of a text, shingles a view samples, and shingle hashes kept for the comparison.
 VIEWS, SAMPLED, KEPT = 10, 3, 128
+#: A pair is linked by its KEPT least hashes only when they are this much (over 4.8 standard errors) above the threshold.
+MARGIN = 0.17
 #: Most bytes of shingle sets in a block; a larger bucket is cut into blocks and every pair of blocks is visited.
 BLOCK_BYTES = 8 << 20
 MIX = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 2**63, VIEWS).tolist()]
@@ -358,6 +360,12 @@ def resemblance(a: bytes, b: bytes) -> float:
     return float(np.searchsorted(common, both[-1], side="right")) / len(both)
 
 
+def certain(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether the KEPT least hashes alone show a pair to be similar: they are all there is, or leave a safe margin."""
+    whole = max(len(a), len(b)) < 8 * KEPT
+    return resemblance(a, b) >= (similarity if whole else similarity + MARGIN)
+
+
 def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that connect all pairs of sets at least ``similarity`` alike; the sure ones are connected already.
 
@@ -409,7 +417,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     SimHashes of SAMPLED shingles each: bits of one view change together, each view is one partition of
     correlated bits searched at threshold zero, and a pair at 0.8 agrees in some view with probability
     over 0.99. Texts are first compared with one member of each of their buckets, by their KEPT least
-    hashes. A bucket that this does not connect is compared whole: every pair of its texts that is not
+    hashes and with a safe MARGIN. A bucket that this does not connect is compared whole: every pair of its texts that is not
     connected yet, on the whole shingle sets, in blocks of about BLOCK_BYTES and all pairs of blocks.
     Equal texts are merged beforehand.
     """
@@ -443,7 +451,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            yield b.select(["th", "lead"]).filter(pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+            yield b.select(["th", "lead"]).filter(pa.array([certain(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
     left = pairs.join(sketches.select(F.col("th"), F.col("least").alias("x")), "th")
     both = left.join(sketches.select(F.col("th").alias("lead"), F.col("least").alias("y")), "lead")

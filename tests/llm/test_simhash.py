@@ -151,3 +151,18 @@ def test_connecting_equals_all_pairs():
                     like = u == 0 or len(np.intersect1d(sets[i], sets[j])) / u >= 0.8
                     if like and (side[i] != side[j] or not side.any()):
                         assert root(i) == root(j)
+
+
+def test_pairs_near_the_threshold_are_decided_on_whole_sets(spark):
+    rng, rows, want = random.Random(5), [], set()
+    for g in range(300):
+        base = [f"g{g}w{i}" for i in range(400)]
+        words = list(base)
+        for at in rng.sample(range(5, 395, 6), rng.choice([6, 7, 8, 9, 10, 11])):  # similarity 0.86 to 0.76
+            words[at] = f"g{g}x{at}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(396)} for w in (base, words))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(words))]
+        want |= {2 * g} if len(a & b) / len(a | b) >= 0.8 else {2 * g, 2 * g + 1}
+    assert 320 < len(want) < 580
+    left = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == want
