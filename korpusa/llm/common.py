@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: table access, durable cut points, connected components."""
+"""What the operators of this subpackage share: table access, durable cut points, joins on hot keys, connected components."""
 
 from __future__ import annotations
 
@@ -6,24 +6,41 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders written by stored() that nothing has discarded yet, oldest first.
+_WRITTEN: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master, where all is one machine, gets a temporary folder when the setting is missing.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="korpusa-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or the first of base_1, base_2, ... that is no column of ``df`` (compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    names = [base, *(f"{base}_{i}" for i in range(1, len(taken) + 1))]
+    return next(n for n in names if n.lower() not in taken)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
@@ -33,49 +50,39 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node reachable.
-
-    Alternating large-star and small-star rounds: each round replaces a node's links by links to
-    the smallest node it sees, as joins and partial minima, so no adjacency list is ever gathered
-    in one place; a hub's rows go through a sort-merge join that adaptive execution can split.
-    Links and labels stay distributed; the driver sees one count and one checksum a round.
-    """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before, rounds = None, 0
-    while True:
-        e = durable(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before or now[0] == 0:
-            break
-        if rounds >= max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        before, rounds = tuple(now), rounds + 1
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a cut of the lineage that is read by columns."""
     where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    _WRITTEN.append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    name = where.rpartition("/")[2]
+    _WRITTEN[:] = [w for w in _WRITTEN if w.rpartition("/")[2] != name]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
         for where in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(t.sparkSession, where)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what stored() writes inside the block, but for the tables that the block puts into the yielded list.
+
+    For work whose result is itself stored before the block ends: a lazy result would still read its parts.
+    """
+    before, keep = set(_WRITTEN), []
+    yield keep
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for t in keep for f in t.inputFiles()}
+    for where in [w for w in _WRITTEN if w not in before and w.rpartition("/")[2] not in kept]:
+        _delete(spark, where)
 
 
 def release(spark: SparkSession) -> None:
@@ -88,3 +95,67 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+#: A key is heavy with more rows than this, or than its share of all rows where that is more.
+HEAVY, HEAVY_SHARE = 50_000, 10_000
+
+
+def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than max(HEAVY, rows / HEAVY_SHARE) rows: fewer than HEAVY_SHARE, whatever the table.
+
+    One count with map-side sums; of a key's rows none is gathered.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("c__"))
+    heavy = counts.where(F.col("c__") > HEAVY)
+    total = F.broadcast(counts.agg((F.sum("c__") / HEAVY_SHARE).alias("share__")))  # one row
+    return heavy.join(total, F.col("c__") > F.col("share__")).select(*keys)
+
+
+def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``unique`` (one row a key) where a key may hold a third of all rows.
+
+    The heavy keys, fewer than HEAVY_SHARE by their definition, meet their partner by broadcast, where
+    the rows are; all other keys are shuffled and none has more than its small share of the rows.
+    ``total``: the number of rows where it is known, which saves the count of few.
+    """
+    few = total is not None and total <= HEAVY
+    heavy = [] if few else [tuple(r) for r in heavy_keys(rows, keys).collect()]  # fewer than HEAVY_SHARE rows
+    if not heavy:
+        return rows.join(unique, keys)
+    spark = rows.sparkSession
+    named = F.broadcast(spark.createDataFrame(heavy, rows.select(*keys).schema))
+    hot = rows.join(named, keys, "left_semi").join(F.broadcast(unique.join(named, keys, "left_semi")), keys)
+    return hot.unionByName(rows.join(named, keys, "left_anti").join(unique, keys))
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node reachable.
+
+    Alternating large-star and small-star rounds: each round replaces a node's links by links to
+    the smallest node it sees, as joins and partial minima, so no adjacency list is ever gathered
+    in one place; a hub's rows meet its minimum by split_join. Links and labels stay distributed;
+    the driver sees one count and one checksum a round. A round's table replaces that before it.
+    """
+    e, last = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    before, rounds = None, 0
+    while True:
+        e = stored(e)
+        if last is not None:
+            discard(last)
+        last = e
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == before or now[0] == 0:
+            break
+        if rounds >= max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, rounds = tuple(now), rounds + 1
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = split_join(both, low, ["u"], 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

@@ -19,7 +19,8 @@ Search, over distinct fingerprints only:
 5. connected components by alternating stars, then one join back to the documents.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like
-any other; repeated rows each keep their own output row; null doc_id rows are kept and never become a
+any other; very long texts are hashed whole, in pieces of bounded memory; ties of a bit (as many hashes with it
+as without) leave it 0; repeated rows each keep their own output row; null doc_id rows are kept and never become a
 component's id while another id exists; an empty table gives an empty result; columns beyond
 doc_id and text are ignored.
 """
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, stored, table
+from .common import connected_components, durable, free_name, split_join, stored, table
 
 BITS, PARTS, WIDTH = 64, 4, 16
 #: Most fingerprints of one key that one task holds; a larger key is cut into blocks of about this size.
@@ -133,23 +134,24 @@ def candidate_tables(counts: np.ndarray, most: int) -> np.ndarray:
     return tables
 
 
-def allocate(values: np.ndarray, tables: np.ndarray, total: int) -> np.ndarray:
+def allocate(costs: np.ndarray, total: int) -> np.ndarray:
     """Thresholds, one row a fingerprint, that sum to ``total`` at the least estimated cost.
 
-    Dynamic programming over partitions; the state is the sum so far, all fingerprints at once.
+    costs[n, i, t + 1] is the cost of searching partition i within t (t = -1 skips it). Dynamic
+    programming over partitions; the state is the sum so far, all fingerprints at once.
     """
-    n, most = len(values), tables.shape[1] - 2
-    low, high = -PARTS, PARTS * most
+    n, parts, levels = costs.shape
+    most = levels - 2
     best = {0: np.zeros(n)}
     back: list[dict[int, np.ndarray]] = []
-    for i in range(PARTS):
+    for i in range(parts):
         nxt: dict[int, np.ndarray] = {}
         step: dict[int, np.ndarray] = {}
         for s, cost in best.items():
             for t in range(-1, most + 1):
-                to, c = s + t, cost + tables[i, t + 1, values[:, i]]
+                to, c = s + t, cost + costs[:, i, t + 1]
                 left = total - to
-                if not low <= to <= high or left > (PARTS - 1 - i) * most or left < -(PARTS - 1 - i):
+                if left > (parts - 1 - i) * most or left < -(parts - 1 - i):
                     continue
                 if to not in nxt:
                     nxt[to], step[to] = c, np.full(n, t, np.int8)
@@ -158,8 +160,8 @@ def allocate(values: np.ndarray, tables: np.ndarray, total: int) -> np.ndarray:
                     nxt[to] = np.where(better, c, nxt[to])
                     step[to] = np.where(better, np.int8(t), step[to])
         best, back = nxt, [*back, step]
-    out, state = np.zeros((n, PARTS), np.int8), np.full(n, total)
-    for i in reversed(range(PARTS)):
+    out, state = np.zeros((n, parts), np.int8), np.full(n, total)
+    for i in reversed(range(parts)):
         for s in np.unique(state):
             at = state == s
             out[at, i] = back[i][int(s)][at]
@@ -239,7 +241,7 @@ def near_links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
             for at in range(0, len(whole), 4096):
                 fps = unsigned(whole.slice(at, 4096))
                 values = np.stack([project(fps, bits) for bits in groups], axis=1)
-                limits = allocate(values, tables, total)
+                limits = allocate(np.stack([tables[i][:, values[:, i]].T for i in range(PARTS)], axis=1), total)
                 key, blk, kind, fp = [], [], [], []
                 for i in range(PARTS):
                     v = values[:, i]
@@ -319,18 +321,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
     roots = connected_components(near_links(distinct, max_distance))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(
+    labels = split_join(named, lowest, ["root"]).select("fp", "component_id")
+    return split_join(fps, labels, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 # --- similar texts ----------------------------------------------------------------------------------
 
-#: Views of a text, shingles a view samples, and shingle hashes kept for the comparison.
-VIEWS, SAMPLED, KEPT = 10, 3, 128
-#: A pair is linked by its KEPT least hashes only when they are this much (over 4.8 standard errors) above the threshold.
-MARGIN = 0.17
+#: Views of a text, shingles a view samples, and views in which a pair must agree to be found for certain.
+VIEWS, SAMPLED, AGREE = 12, 3, 2
 #: Most bytes of shingle sets in a block; a larger bucket is cut into blocks and every pair of blocks is visited.
 BLOCK_BYTES = 8 << 20
 MIX = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 2**63, VIEWS).tolist()]
@@ -348,27 +348,20 @@ def views_of(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets by their KEPT least hashes; exact for sets no larger."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) == KEPT or len(y) == KEPT:
-        both = both[:KEPT]
-    common = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
-
-
-def certain(a: bytes, b: bytes, similarity: float) -> bool:
-    """Whether the KEPT least hashes alone show a pair to be similar: they are all there is, or leave a safe margin."""
-    whole = max(len(a), len(b)) < 8 * KEPT
-    return resemblance(a, b) >= (similarity if whole else similarity + MARGIN)
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted shingle sets are that similar (Jaccard); two empty ones are."""
+    small, large = sorted((len(x), len(y)))
+    if small < similarity * large - 1e-6:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True)) if small else 0
+    union = small + large - common
+    return common / union >= similarity if union else True
 
 
-def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, probe: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that connect all pairs of sets at least ``similarity`` alike; the sure ones are connected already.
 
+    A pair counts only if one of the two probes for it.
     Sets are 64-bit hashes, compared whole. With two sides only pairs across them are compared. Those that
     hold what is most common come first, so that the base of many copies connects them at once.
     """
@@ -379,14 +372,14 @@ def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, simil
     starts = np.cumsum(size) - size
     parts = [token[starts[i] : starts[i] + size[i]] for i in order.tolist()]
     parts = [x[times[x] > 1] for x in parts]  # what one set alone holds is common to no pair
-    size, side, sure = size[order], side[order], sure[order]
+    size, side, sure, probe = size[order], side[order], sure[order], probe[order]
     flat, ends = np.concatenate([*parts, np.zeros(0, np.int64)]), np.cumsum([len(x) for x in parts])
     label = np.where(sure, len(sets), np.arange(len(sets)))
     mark, across, out = np.zeros(len(times), bool), len(np.unique(side)) > 1, []
     for x in range(len(sets) - 1):
         after = slice(x + 1, None)
         small, large = np.minimum(size[x], size[after]), np.maximum(size[x], size[after])
-        new = (label[after] != label[x]) & (small >= similarity * large - 1e-6)
+        new = (label[after] != label[x]) & (probe[after] | probe[x]) & (small >= similarity * large - 1e-6)
         if across:
             new &= side[after] != side[x]
         if not new.any():
@@ -409,19 +402,8 @@ def connecting(sets: list[np.ndarray], side: np.ndarray, sure: np.ndarray, simil
     return out
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, th, group)`` of every row; a group's rows are connected by texts at least that similar.
-
-    A similarity of 0.8 leaves two 64-bit fingerprints about 10 bits apart, where a pigeonhole search
-    would probe a large part of the table. So the fingerprint is made longer instead, from VIEWS
-    SimHashes of SAMPLED shingles each: bits of one view change together, each view is one partition of
-    correlated bits searched at threshold zero, and a pair at 0.8 agrees in some view with probability
-    over 0.99. Texts are first compared with one member of each of their buckets, by their KEPT least
-    hashes and with a safe MARGIN. A bucket that this does not connect is compared whole: every pair of its texts that is not
-    connected yet, on the whole shingle sets, in blocks of about BLOCK_BYTES and all pairs of blocks.
-    Equal texts are merged beforehand.
-    """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def sketched(keyed: DataFrame, shingle: int) -> DataFrame:
+    """``(th, views, n)`` of every distinct text of ``keyed(th, text)``; n is the size of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal texts of one task need one sketch; forgetting some costs time only
@@ -436,29 +418,61 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                         seen.clear()
                     seen.add(th)
                     h = np.unique(shingle_hashes(text.as_py(), shingle))
-                    rows.append((th, views_of(h).view(np.int64).tolist(), h[:KEPT].astype("<u8").tobytes(), len(h)))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "least", "n"])
-
-    sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, least binary, n long")
-    sketches = stored(sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("least").alias("least"), F.first("n").alias("n")))
-    seen = sketches.select("th", "n", F.posexplode("views").alias("v", "fp")).withColumn("k", F.xxhash64("th", "v"))
-    leaders = seen.groupBy("v", "fp").agg(F.min_by("th", "k").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
-    met = stored(seen.join(leaders.drop("c"), ["v", "fp"]).select("th", "v", "fp", "lead", "total"))
-    pairs = met.where("th <> lead").select("th", "lead").distinct()
+                    rows.append((th, views_of(h).view(np.int64).tolist(), len(h)))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "n"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, n long")
+    return sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("n").alias("n"))
+
+
+MEMBER = "th long, v int, fp long, lead long, total long, probe boolean"
+
+
+def probing(met: DataFrame) -> DataFrame:
+    """MEMBER rows: each text's buckets, and whether it probes there.
+
+    By the generalised pigeonhole principle a pair that agrees in AGREE views or more meets in any
+    VIEWS - AGREE + 1 of them, so a text leaves out AGREE - 1: thresholds of 0 (probe) or -1 (skip)
+    that sum to 1 - AGREE, at the least number of candidates, by the same dynamic programming.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            yield b.select(["th", "lead"]).filter(pa.array([certain(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
+            lists = b.column("buckets")
+            flat, per = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(b)), per)
+            v, c = flat.field("v").to_numpy(zero_copy_only=False), flat.field("c").to_numpy(zero_copy_only=False)
+            costs = np.zeros((len(b), VIEWS, 2))
+            costs[row, v, 1] = c
+            chosen = allocate(costs, 1 - AGREE)[row, v] == 0
+            cols = [b.column("th").take(pa.array(row)), *(flat.field(x) for x in ("v", "fp", "lead", "total")), pa.array(chosen)]
+            yield pa.RecordBatch.from_arrays(cols, ["th", "v", "fp", "lead", "total", "probe"])
+
+    lists = met.groupBy("th").agg(F.collect_list(F.struct("v", "fp", "lead", "total", "c")).alias("buckets"))  # at most VIEWS
+    return lists.mapInArrow(run, MEMBER)
+
+
+def text_groups(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(th, group)`` of every distinct text of ``keyed(th, text)`` that is linked to another.
 
-    left = pairs.join(sketches.select(F.col("th"), F.col("least").alias("x")), "th")
-    both = left.join(sketches.select(F.col("th").alias("lead"), F.col("least").alias("y")), "lead")
-    led = stored(both.select("th", "lead", "x", "y").mapInArrow(verify, "th long, lead long"))
-    marked = met.join(led.withColumn("led", F.lit(True)), ["th", "lead"], "left").withColumn("sure", F.coalesce("led", F.col("th") == F.col("lead")))
-    loose = marked.groupBy("v", "fp").agg(F.count_if(~F.col("sure")).alias("left")).where("left > 0")
-    loose = stored(marked.join(loose, ["v", "fp"], "left_semi").select("th", "v", "fp", "sure", F.ceil(F.col("total") * 8 / BLOCK_BYTES).alias("blocks")))
+    A similarity of 0.8 leaves two 64-bit fingerprints about 10 bits apart, where a pigeonhole search
+    would probe a large part of the table. So the fingerprint is made longer instead, from VIEWS
+    SimHashes of SAMPLED shingles each: bits of one view change together, so each view is one partition
+    of correlated bits; a text searches all but the AGREE - 1 costliest (see probing). A pair at 0.8
+    agrees in each view with probability 0.51, so in AGREE or more with 0.997.
+
+    Everything is decided on whole shingle sets. Texts are first compared with one member of each of
+    their buckets; a bucket that this does not connect is compared whole: every pair that is not
+    connected yet and that one of the two probes for, in blocks of about BLOCK_BYTES and all pairs of blocks.
+    """
+    sketches = stored(sketched(keyed, shingle))
+    seen = sketches.select("th", "n", F.posexplode("views").alias("v", "fp"))
+    buckets = seen.groupBy("v", "fp").agg(F.min("th").alias("lead"), F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
+    members = stored(probing(split_join(seen.drop("n"), buckets, ["v", "fp"])))
+    live = members.groupBy("v", "fp").agg(F.max("probe").alias("any")).where("any").select("v", "fp")
+    members = stored(split_join(members, live, ["v", "fp"]))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -467,12 +481,20 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                 made = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in b.column("text").cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(made, pa.binary())], ["th", "hashes"])
 
-    sets = keyed.select("th", "text").join(loose.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    sets = stored(sets.mapInArrow(whole_sets, "th long, hashes binary"))
+    first = keyed.select("th", F.col("row__")).groupBy("th").agg(F.min("row__").alias("row__"))  # one row of each text
+    wanted = members.select("th").distinct().join(first, "th").select("row__")
+    texts = keyed.join(wanted, "row__", "left_semi").select("th", "text").dropDuplicates(["th"])
+    sets = stored(texts.mapInArrow(whole_sets, "th long, hashes binary"))
+
+    led = stored(leader_links(members, sketches.select("th", "n"), sets, similarity))
+    marked = members.join(led.withColumn("led", F.lit(True)), ["th", "lead"], "left")
+    marked = marked.withColumn("sure", F.coalesce("led", F.col("th") == F.col("lead"))).drop("led")
+    loose = marked.groupBy("v", "fp").agg(F.count_if(~F.col("sure")).alias("left")).where("left > 0").select("v", "fp")
+    loose = split_join(marked, loose, ["v", "fp"]).select("th", "v", "fp", "sure", "probe", F.ceil(F.col("total") * 8 / BLOCK_BYTES).alias("blocks"))
     side, last = F.pmod(F.xxhash64("th", "v"), F.col("blocks")), F.col("blocks") - 1
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))).alias("other")
     placed = loose.withColumn("side", F.coalesce(side, F.lit(0).cast("long"))).select("*", meets)
-    placed = placed.select("th", "v", "fp", "sure", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    placed = placed.select("th", "v", "fp", "sure", "probe", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     blocks = placed.join(sets, "th").repartition("v", "fp", "i", "j").sortWithinPartitions("v", "fp", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,7 +502,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         at, held = None, []
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("v", "fp", "i", "j")]
-            for key, *row in zip(zip(*cols, strict=True), *(b.column(c).to_pylist() for c in ("th", "hashes", "side", "sure")), strict=True):
+            for key, *row in zip(zip(*cols, strict=True), *(b.column(c).to_pylist() for c in ("th", "hashes", "side", "sure", "probe")), strict=True):
                 if key != at:
                     yield from links(held)
                     at, held = key, []
@@ -489,26 +511,71 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
     def links(held: list[list]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            th, hashes, side, sure = zip(*held, strict=True)
-            found = connecting([np.frombuffer(x, "<u8") for x in hashes], np.array(side), np.array(sure), similarity)
+            th, hashes, side, sure, probe = zip(*held, strict=True)
+            found = connecting([np.frombuffer(x, "<u8") for x in hashes], np.array(side), np.array(sure), np.array(probe), similarity)
             yield pa.RecordBatch.from_arrays([pa.array([th[x] for x, _ in found], pa.int64()), pa.array([th[y] for _, y in found], pa.int64())], ["a", "b"])
 
     linked = blocks.mapInArrow(compare, "a long, b long").unionByName(led.select(F.col("th").alias("a"), F.col("lead").alias("b")))
-    roots = connected_components(linked)
-    return keyed.select("doc_id", "th").join(roots, F.col("th") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("group"))
+    return connected_components(linked).select(F.col("node").alias("th"), F.col("root").alias("group"))
+
+
+def leader_links(members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(th, lead)`` of the texts that are similar to a leader of theirs, on whole sets.
+
+    A leader of many is sent to as many tasks as its followers fill blocks.
+    """
+    pairs = members.where("th <> lead").select("th", "lead").distinct()
+    parts = pairs.join(sizes, "th").groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("parts"))
+    parts = stored(parts)
+    follow = split_join(pairs, parts, ["lead"]).select("lead", F.pmod(F.xxhash64("th"), F.col("parts")).alias("part"), "th", F.lit(1).alias("rank"))
+    ahead = parts.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("lead").alias("th"), F.lit(0).alias("rank"))
+    met = follow.unionByName(ahead).join(sets, "th").repartition("lead", "part").sortWithinPartitions("lead", "part", "rank")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
+        for b in batches:
+            keep = []
+            for rank, hashes in zip(b.column("rank").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                own = np.frombuffer(hashes, "<u8")
+                if rank == 0:
+                    lead = own
+                keep.append(rank == 1 and alike(own, lead, similarity))
+            yield b.select(["th", "lead"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("lead", "rank", "th", "hashes").mapInArrow(verify, "th long, lead long")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``(row__, doc_id, text, th)``; th is 64 bits of the text, so equal texts are merged by it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("th", F.xxhash64("text")).withColumn("row__", F.xxhash64("th", "doc_id"))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, th, group)`` of every row; a group's rows are connected by texts at least that similar (see text_groups)."""
+    keyed = keyed_texts(docs)
+    roots = stored(text_groups(keyed, shingle, similarity))
+    rows = keyed.select("doc_id", "th")
+    alone = rows.join(roots, "th", "left_anti").withColumn("group", F.col("th"))
+    return split_join(rows, roots, ["th"]).select("doc_id", "th", "group").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: that of the smallest doc_id."""
-    labels = stored(similar(docs, shingle, similarity))
-    best = labels.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
-    keyed = docs.withColumn("th__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    best = best.select(F.col("doc_id").alias("best__"), F.col("th").alias("th__"))
-    same = (F.col("d.th__") == F.col("b.th__")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.best__"))
-    kept = keyed.alias("d").join(best.alias("b"), same, "left_semi")
-    if not labels.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "th__"])  # rows that repeat an id and its text
-    return kept.drop("th__")
+    """``docs`` with one row of each group of similar texts: that of the smallest doc_id.
+
+    Of rows that repeat both id and text one is kept, whichever it is where their other columns differ.
+    """
+    keyed = keyed_texts(docs)
+    roots = text_groups(keyed, shingle, similarity)
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    lowest = keyed.groupBy("th").agg(F.min(named).alias("m")).join(roots, "th", "left")
+    best = lowest.groupBy(F.coalesce("group", "th")).agg(F.min("m").alias("m")).select("m.doc_id", "m.th")
+    th = free_name(docs, "th__")
+    told = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    best = best.select(F.col("doc_id").alias("best__"), F.col("th").alias("least__"))
+    same = (F.col(f"d.{th}") == F.col("b.least__")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.best__"))
+    kept = told.alias("d").join(best.alias("b"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", th]).drop(th)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 import xxhash
 
+from korpusa.llm import common
 from korpusa.llm import simhash as S
 
 
@@ -101,7 +103,52 @@ def test_thresholds_sum(total):
     counts = np.random.default_rng(0).integers(0, 50, (S.PARTS, 1 << S.WIDTH))
     tables = S.candidate_tables(counts, 3)
     values = np.random.default_rng(1).integers(0, 1 << S.WIDTH, (50, S.PARTS))
-    assert (S.allocate(values, tables, total).sum(axis=1) == total).all()
+    costs = np.stack([tables[i][:, values[:, i]].T for i in range(S.PARTS)], axis=1)
+    assert (S.allocate(costs, total).sum(axis=1) == total).all()
+
+
+def test_allocation_is_the_cheapest():
+    rng = np.random.default_rng(2)
+    for parts, most, total in ((4, 2, 1), (5, 0, -2), (3, 1, 0)):
+        costs = rng.integers(0, 99, (20, parts, most + 2)).astype(float)
+        every = [t for t in itertools.product(range(-1, most + 1), repeat=parts) if sum(t) == total]
+        least = np.min([sum(costs[:, i, t + 1] for i, t in enumerate(x)) for x in every], axis=0)
+        got = S.allocate(costs, total)
+        assert (got.sum(axis=1) == total).all()
+        assert (sum(costs[np.arange(20), i, got[:, i] + 1] for i in range(parts)) == least).all()
+
+
+def test_texts_skip_their_costliest_views(spark):
+    rows = [(1, v, 10 + v, 1, 5, 100 if v in (3, 7) else 2) for v in range(S.VIEWS)]
+    met = spark.createDataFrame(rows, "th long, v int, fp long, lead long, total long, c long")
+    skipped = {r.v for r in S.probing(met).collect() if not r.probe}
+    assert len(skipped) == S.AGREE - 1 and skipped <= {3, 7}
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", 7, "p"), (1, "a b c d e f", 7, "p"), (2, "a b c d e f", 8, "q"), (3, "other words stand here now", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th__ long, `group` string")
+    kept = S.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    monkeypatch.setattr(common, "HEAVY_SHARE", 4)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 0, k) for k in range(40)], "k long, x long")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k long, name string")
+    assert {r.k for r in common.heavy_keys(rows, ["k"]).collect()} == {0}
+    want = sorted(map(tuple, rows.join(names, ["k"]).collect()))
+    assert sorted(map(tuple, common.split_join(rows, names, ["k"]).collect())) == want
+
+
+def test_very_long_and_empty_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id for r in S.one_of_each(df).collect()} == {1, 3}
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
 def star(copies, size=120, seed=3):
@@ -140,7 +187,7 @@ def test_connecting_equals_all_pairs():
                     i = parent[i]
                 return i
 
-            found = S.connecting(sets, side, np.zeros(n, bool), 0.8)
+            found = S.connecting(sets, side, np.zeros(n, bool), np.ones(n, bool), 0.8)
             for a, b in found:
                 assert root(a) != root(b)
                 parent[root(a)] = root(b)
