@@ -8,19 +8,25 @@ neighbour's distance; a data vector is sent to a group of query cells only if th
 leaves it a chance. Each (query group, data block) is solved on its own, cell by cell, skipping cells
 that cannot improve a query, and a last ranking merges the blocks' short lists.
 
-Bounds: PIVOTS rows are sampled as pivots (by hash; they affect speed, never results); a task holds at
-most about QUERIES queries and ROWS data vectors, hot cells included, since groups and blocks are cut
-by hash.
+Pivots: as many as the square root of the table's rows (PIVOTS[0] at least, PIVOTS[1] at most), chosen by
+hash; they affect speed, never results. A task holds at most about QUERIES queries and ROWS data
+vectors, hot cells included, since groups and blocks are cut by hash. A group takes neighbouring query
+cells until it is full, because the union of two cells' needs is never more than their sum.
+
+``share_sent`` says which part of all (data vector, query group) pairs the bounds let through. Vectors
+without structure (isotropic, many dimensions) leave the triangle inequality nothing to prune: then the
+share is 1, every group meets all data in blocks, and the join is an exact blocked scan.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors are as if padded with zeros; repeated rows are separate candidates and separate queries; ties
-go to the smaller vec_id; rows without vec_id take no part; fewer than k candidates are all returned;
+go to the smaller vec_id; a scaled component that fits no long is held at the nearest one, and scores wrap at 64 bits; rows without vec_id take no part; fewer than k candidates are all returned;
 an empty table gives an empty result; of the input only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
-PIVOTS, QUERIES, ROWS, CHUNK = 48, 1024, 16_384, 2048
+PIVOTS, QUERIES, ROWS, CHUNK = (48, 2048), 4096, 16_384, 1024
 SCALE, EVERY = 256, 50
 
 
@@ -47,7 +53,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
             flat = e.flatten().to_numpy(zero_copy_only=False)
             m = np.zeros((len(b), max(longest, 1)), np.int64)
             row = np.repeat(np.arange(len(b)), sizes)
-            m[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.floor(SCALE * flat).astype(np.int64)
+            m[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.clip(np.floor(SCALE * flat), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
             vec = pa.array([x.tobytes() for x in m], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), vec], ["vec_id", "vec"])
 
@@ -134,9 +140,26 @@ def solve(q: np.ndarray, q_rid: np.ndarray, cells: Cells, s: np.ndarray, s_id: n
     return top
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: queries are the rows whose vec_id is divisible by ``every``."""
-    rows = quantised(vectors)
+@dataclass
+class Layout:
+    """What is sent where: every group's bounds on the distance to each data cell's pivot, and its data blocks."""
+
+    cells: Cells
+    data: DataFrame
+    queries: DataFrame
+    first_of: np.ndarray
+    cuts: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    blocks: np.ndarray
+    share: float
+
+
+SCHEMA = "rid long, vec_id long, vec binary, cell int, dist double"
+
+
+def layout(rows: DataFrame, k: int, every: int) -> Layout | None:
+    """Pivots, cells, summaries and groups of quantised ``rows``; None without queries."""
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,10 +167,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([top])], ["n2"])
 
     norm2 = rows.select("vec").mapInArrow(norms, "n2 double").agg(F.max("n2")).first()[0]
-    shape = "query_id long, rank int, vec_id long, score long"
     if norm2 is None:
-        return rows.sparkSession.createDataFrame([], shape)
-    sample = rows.orderBy(F.xxhash64("vec"), "rid").select("vec").limit(PIVOTS).collect()  # a fixed number of rows
+        return None
+    n_rows = rows.count()
+    wanted = int(min(max(PIVOTS[0], n_rows**0.5), PIVOTS[1]))
+    # twice as many by hash as needed, so that the sort is of few rows; at most PIVOTS[1] are collected
+    least = min(2**63 - 1, int(min(1.0, 2 * wanted / n_rows) * 2**64) - 2**63)
+    by_hash = rows.select("vec", "rid", F.xxhash64("vec", "rid").alias("h"))
+    sample = by_hash.where(F.col("h") <= least).orderBy("h", "rid").select("vec").limit(wanted).collect()
+    if not sample:
+        sample = by_hash.orderBy("h", "rid").select("vec").limit(wanted).collect()
     cells = Cells(np.unique(np.stack([np.frombuffer(r.vec, np.int64) for r in sample]), axis=0), norm2)
     n_cells = len(cells.pivots)
 
@@ -163,9 +192,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
 
         return run
 
-    schema = "rid long, vec_id long, vec binary, cell int, dist double"
-    data = rows.mapInArrow(assign(True), schema)
-    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(assign(False), schema)
+    data = rows.mapInArrow(assign(True), SCHEMA)
+    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(assign(False), SCHEMA)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, np.ndarray] = {}
@@ -192,7 +220,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
 
     s_cells, q_cells = summarised(data), summarised(queries)
     if not q_cells:
-        return rows.sparkSession.createDataFrame([], shape)
+        return None
     slack = 1e-6 * (1 + float(np.sqrt(norm2)))
     low_at, high_at = np.full((n_cells, n_cells), np.inf), np.full((n_cells, n_cells), -np.inf)  # [query cell, data cell]
     for r in q_cells:
@@ -212,16 +240,32 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
                 n += r.n
         left = [r for r in left if r not in group]
         groups.append(([r.cell for r in group], -(-n // QUERIES)))
-    first_of, cuts, low_g, high_g, blocks = np.zeros(n_cells, np.int64), np.ones(n_cells, np.int64), [], [], []
+    first_of, cuts, low_g, high_g, blocks, sent = np.zeros(n_cells, np.int64), np.ones(n_cells, np.int64), [], [], [], 0
     for members, cut in groups:
         low, high = low_at[members].min(axis=0), high_at[members].max(axis=0)
         n = sum(s.n for s in s_cells if s.high >= low[s.cell] and s.low <= high[s.cell])
-        first_of[members], cuts[members] = len(blocks), cut
+        first_of[members], cuts[members], sent = len(blocks), cut, sent + cut * n
         for _ in range(cut):
             low_g.append(low)
             high_g.append(high)
             blocks.append(max(1, -(-n // ROWS)))
-    low_g, high_g, blocks = np.array(low_g), np.array(high_g), np.array(blocks)
+    share = sent / max(1, len(blocks) * sum(s.n for s in s_cells))
+    return Layout(cells, data, queries, first_of, cuts, np.array(low_g), np.array(high_g), np.array(blocks), share)
+
+
+def share_sent(vectors: DataFrame, k: int = 5, every: int = EVERY) -> float:
+    """Share of all (data vector, query group) pairs that the bounds let through, counted by cells; 0 without queries."""
+    found = layout(quantised(vectors), k, every)
+    return found.share if found else 0.0
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: queries are the rows whose vec_id is divisible by ``every``."""
+    rows = quantised(vectors)
+    plan = layout(rows, k, every)
+    if plan is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells, data, queries, first_of, cuts, low_g, high_g, blocks = plan.cells, plan.data, plan.queries, plan.first_of, plan.cuts, plan.low, plan.high, plan.blocks
 
     def mixed(rid: np.ndarray) -> np.ndarray:
         return (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -253,7 +297,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
         cols = [q["rid"].to_numpy()[r], q["vec_id"].to_numpy()[r], ids[place[r, c]] if len(ids) else r, score[r, c]]
         return pa.table([pa.array(np.asarray(x, np.int64)) for x in cols], names=["rid", "query_id", "vec_id", "score"])
 
-    moved = "g int, blk int, " + schema
+    moved = "g int, blk int, " + SCHEMA
     left_side = queries.mapInArrow(send_queries, moved).groupBy("g", "blk")
     right_side = data.mapInArrow(send_data, moved).groupBy("g", "blk")
     short = left_side.cogroup(right_side).applyInArrow(local, "rid long, query_id long, vec_id long, score long")

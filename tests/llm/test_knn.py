@@ -22,7 +22,7 @@ def run(spark, rows, **kw):
     return sorted(tuple(r) for r in K.top_k(df, **kw).collect())
 
 
-@pytest.mark.parametrize("limits", [(48, 1024, 16384, 2048), (5, 3, 40, 7)])
+@pytest.mark.parametrize("limits", [((48, 2048), 1024, 16384, 2048), ((5, 5), 3, 40, 7), ((2, 100), 20, 60, 9)])
 def test_equals_brute_force(spark, monkeypatch, limits):
     for name, value in zip(("PIVOTS", "QUERIES", "ROWS", "CHUNK"), limits):
         monkeypatch.setattr(K, name, value)
@@ -43,3 +43,20 @@ def test_few_rows(spark):
 def test_query_on_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, K.query(spark, sf).collect())) == brute(rows)
+
+
+def test_clustered_vectors_are_not_sent_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(K, "QUERIES", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 6))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    e = np.repeat(centres, 100, axis=0) + rng.normal(0, 0.01, (2000, 6))
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(e)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert K.share_sent(df) < 0.5
+    assert sorted(map(tuple, K.top_k(df).collect())) == brute(rows)
+
+
+def test_large_components(spark):
+    got = run(spark, [(0, [3e18, 0.0]), (50, [1.0, 1.0]), (3, [2.0, 2.0])])
+    assert {r[0] for r in got} == {0, 50}
