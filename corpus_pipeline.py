@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusa.llm import bpe, decontaminate, langid, pii, simhash
-from korpusa.llm.common import stored, table
+from korpusa.llm.common import discard, passing, release, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the language models reject; the models are trained on the stage's own labelled rows."""
-    judged = langid.predict(docs, langid.train(docs))
-    return judged.where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    return langid.keep_known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with passing(spark) as kept:  # what a stage stored on its way goes, its result stays
+            docs = stored(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
