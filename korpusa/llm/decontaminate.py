@@ -2,8 +2,10 @@
 
 Texts become tokens: numbers, names (capitalised words inside a sentence) and units (after a number,
 or a currency or percent sign) turn into typed placeholders, other words are lower-cased, punctuation
-only ends sentences. Every window of WINDOW tokens with at least half of them literal is hashed; a
-benchmark item shorter than that is one window. Document windows are hash-joined to benchmark windows.
+only ends sentences. Every window of WINDOW tokens is hashed: as a template (placeholders by type) where
+at least half of its tokens are literal, else with the values of its slots, so that text rich in numbers
+or names is found as a copy but not by its shape alone. Document windows are hash-joined to benchmark
+windows.
 
 Matches of one document and item are grouped by alignment (document place minus item place); an
 alignment counts only if its slots are consistent: every benchmark value of a slot type is always
@@ -11,12 +13,16 @@ answered by one value in the document. So a re-parameterised question is caught,
 with scrambled values are not. An item is found in a document when the consistent alignments cover
 at least MIN_COVER of the item's windows.
 
+An item shorter than WINDOW tokens is one window of its own length. One shorter than LEAST_WORDS is too
+common as a phrase to say anything, so it is found only in a text that is nothing else.
+
 Before the join, a task drops windows whose hash no benchmark window has, while the benchmark has at
 most MOST_SHIPPED windows (checked); a larger one is joined in full by shuffle.
 
-Defined results: null text or item text has no windows and matches nothing; repeated document rows
-give a result row each; items with equal text are each reported; rows of the benchmark without id are
-ignored; extra columns are ignored by ``matches`` and kept by ``clean``; empty tables match nothing.
+Defined results: null text or item text has no windows and matches nothing; very long texts are read
+whole, batch by batch; repeated document rows give a result row each; items with equal text (ties) are
+each reported, those without an id too (item_id null); extra columns are ignored by ``matches`` and kept
+by ``clean``, whatever their names; empty tables match nothing.
 """
 
 from __future__ import annotations
@@ -31,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
-WINDOW, MIN_COVER, MOST_SHIPPED = 8, 0.5, 2_000_000
+WINDOW, MIN_COVER, MOST_SHIPPED, LEAST_WORDS = 8, 0.5, 2_000_000, 4
 LITERAL, NUMBER, CAPITAL, UNIT, SIGN, STOP = range(6)
 #: Unit words, fixed values.
 UNITS = frozenset(
@@ -85,8 +91,8 @@ class Lexicon(dict):
             self[chunk] = packed
         return packed
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token numbers, kinds after looking at neighbours, and canonical hashes."""
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers, kinds after looking at neighbours, hashes of the canonical tokens and of the tokens themselves."""
         ids = np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
         kind = np.frombuffer(self.kinds, np.int8)[ids] if len(ids) else np.zeros(0, np.int8)
         before = np.concatenate([[STOP], kind[:-1]])[: len(kind)]
@@ -94,21 +100,37 @@ class Lexicon(dict):
         kind = np.where((kind == UNIT) & (before != NUMBER), LITERAL, np.where(kind == SIGN, UNIT, kind))
         keep = kind != STOP
         ids, kind = ids[keep], kind[keep]
-        h = np.frombuffer(self.hashes, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+        own = np.frombuffer(self.hashes, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+        h = own
         for k, value in PLACEHOLDER.items():
             h = np.where(kind == k, value, h)
-        return ids, kind, h
+        return ids, kind, h, own
 
 
-def windows(kind: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` tokens, and whether enough of it is literal."""
+def windows(kind: np.ndarray, h: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of ``size`` tokens: of its template where half of it is literal, else of its own words."""
     n = max(0, len(h) - size + 1)
-    out, literal = np.full(n, size, np.uint64), np.zeros(n, np.int64)
+    literal = np.zeros(n, np.int64)
     for k in range(size):
-        out = (out + h[k : k + n]) * BASE
-        out ^= out >> np.uint64(29)
         literal += kind[k : k + n] == LITERAL
-    return out, 2 * literal >= size
+    out = mixed(h, n, size, 0)
+    rich = np.flatnonzero(2 * literal < size)
+    if len(rich):
+        if 8 * len(rich) < n:  # few of them: only these are hashed by value
+            span = rich[:, None] + np.arange(size)
+            out[rich] = mixed(own[span].T, len(rich), size, 1)
+        else:
+            out[rich] = mixed(own, n, size, 1)[rich]
+    return out
+
+
+def mixed(h: np.ndarray, n: int, size: int, seed: int) -> np.ndarray:
+    """One hash a window; h is a row of tokens, or a matrix of one row a place in the window."""
+    out = np.full(n, size + (seed << 32), np.uint64)
+    for k in range(size):
+        out = (out + (h[k : k + n] if h.ndim == 1 else h[k])) * BASE
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def slots(lex: Lexicon, ids: np.ndarray, kind: np.ndarray, at: int, size: int) -> list[str]:
@@ -116,7 +138,7 @@ def slots(lex: Lexicon, ids: np.ndarray, kind: np.ndarray, at: int, size: int) -
     return [f"{kind[i]}:{lex.texts[ids[i]].lower()}" for i in range(at, at + size) if kind[i] != LITERAL]
 
 
-ITEM = "item_id long, n_windows int, at int, h long, slots array<string>"
+ITEM = "item long, item_id long, n_windows int, at int, h long, slots array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -126,8 +148,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         lex = Lexicon()
         for b in batches:
             rows = []
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids, kind, h = lex.tokens(text or "")
+            for key, item, text in zip(*(b.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
+                ids, kind, h, own = lex.tokens(text or "")
                 size = min(WINDOW, len(h))
                 if not size:
                     continue
@@ -137,15 +159,15 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     inside[0], hidden[0] = CAPITAL, PLACEHOLDER[CAPITAL]
                     variants.append((inside, hidden, 1))
                 for k, x, most in variants:
-                    found, ok = windows(k, x, size)
-                    for at in np.flatnonzero(ok[:most]).tolist():
-                        rows.append((item, len(found), at, int(found[at : at + 1].view(np.int64)[0]), slots(lex, ids, k, at, size)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "n_windows", "at", "h", "slots"])
+                    found = windows(k, x, own, size)
+                    for at in range(len(found[:most])):
+                        rows.append((key, item, len(found), at, int(found[at : at + 1].view(np.int64)[0]), slots(lex, ids, k, at, size)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["item", "item_id", "n_windows", "at", "h", "slots"])
 
-    rows = benchmark.where("item_id is not null and text is not null")
-    return rows.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, ITEM)
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.withColumn("item", F.xxhash64("item_id", "text")).distinct().mapInArrow(run, ITEM)
 
 
 def row_key() -> F.Column:
@@ -171,14 +193,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for k, d, text in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if len(lex) > MOST_CHUNKS or len(lex.texts) > MOST_CHUNKS:
                     lex.renew()
-                ids, kind, h = lex.tokens(text)
+                ids, kind, h, own = lex.tokens(text)
                 for size in sizes:
-                    found, ok = windows(kind, h, size)
-                    if known is not None and len(known):
-                        ok &= known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
-                    elif known is not None:
-                        ok[:] = False
-                    hits = np.flatnonzero(ok)
+                    if size < LEAST_WORDS and len(h) != size:
+                        continue
+                    found = windows(kind, h, own, size)
+                    if known is None:
+                        hits = np.arange(len(found))
+                    elif len(known):
+                        hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found)
+                    else:
+                        hits = np.zeros(0, np.int64)
                     key += [k] * len(hits)
                     doc += [d] * len(hits)
                     at_.append(hits)
@@ -193,15 +218,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.mapInArrow(run, "key long, doc_id long, place int, h long, values array<string>")
     met = found.join(items, "h").where(F.size("slots") == F.size("values")).withColumn("line", F.col("place") - F.col("at"))
     pairs = met.select(
-        "key", "doc_id", "item_id", "n_windows", "line", "at",
+        "key", "doc_id", "item", "item_id", "n_windows", "line", "at",
         F.zip_with("slots", "values", lambda x, y: F.struct(x.alias("b"), y.alias("d"))).alias("pair"),
     )
     # what an alignment binds: the distinct pairs, few whatever the number of matches
-    lines = pairs.groupBy("key", "doc_id", "item_id", "n_windows", "line").agg(
+    lines = pairs.groupBy("key", "doc_id", "item", "item_id", "n_windows", "line").agg(
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("bound")
     )
     lines = lines.where(F.size(F.array_distinct(F.transform("bound", lambda p: p["b"]))) == F.size("bound"))
-    each = lines.groupBy("key", "doc_id", "item_id", "n_windows").agg(
+    each = lines.groupBy("key", "doc_id", "item", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"),
         F.min(F.forall("bound", lambda p: p["b"] == p["d"])).alias("exact"),
     )
@@ -218,14 +243,15 @@ def benchmark_sizes(benchmark: DataFrame) -> list[int]:
             n = [min(WINDOW, len(lex.tokens(t)[0])) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set(n)), pa.int32())], ["n"])
 
-    rows = benchmark.where("item_id is not null and text is not null").select("text").mapInArrow(run, "n int")
+    rows = benchmark.where("text is not null").select("text").mapInArrow(run, "n int")
     return [r.n for r in rows.where("n > 0").distinct().collect()]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
-    hit = matches(docs, benchmark).select("key").distinct()
-    return docs.withColumn("key__", row_key()).join(hit.withColumnRenamed("key", "key__"), "key__", "left_anti").drop("key__")
+    key = free_name(docs, "key__")
+    hit = matches(docs, benchmark).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(hit, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,15 +36,19 @@ def brute(docs, bench):
         for item, btext in bench:
             b = canon(btext)
             size = min(D.WINDOW, len(b))
-            if not size:
+            if not size or (size < D.LEAST_WORDS and len(d) != size):
                 continue
             n, hit = len(b) - size + 1, {}
             for at in range(n):
                 for place in range(len(d) - size + 1):
                     x, y = b[at : at + size], d[place : place + size]
                     same = all(p[1] == q[1] and (p[1] != "w" or p[0] == q[0]) for p, q in zip(x, y))
-                    if same and 2 * sum(p[1] == "w" for p in x) >= size:
-                        hit.setdefault(place - at, []).append((at, [(p, q) for p, q in zip(x, y) if p[1] != "w"]))
+                    few, fewer = (2 * sum(p[1] == "w" for p in z) < size for z in (x, y))
+                    if few or fewer:
+                        same = few and fewer and [p[0] for p in x] == [q[0] for q in y]
+                    sx, sy = ([p for p in z if p[1] != "w"] for z in (x, y))
+                    if same and len(sx) == len(sy):
+                        hit.setdefault(place - at, []).append((at, list(zip(sx, sy))))
             ats, exact = set(), True
             for found in hit.values():
                 pairs = {p for _, ps in found for p in ps}
@@ -81,6 +85,18 @@ def test_equals_brute_force(spark, monkeypatch, shipped):
     assert D.clean(a, b).columns == a.columns
 
 
+def test_number_rich_short_and_nameless_items(spark):
+    table = "3 kg 4 m 5 km 6 Alice 7 Bob 8 kg 9 10 11 12 13 14 15"
+    bench = spark.createDataFrame([(1, table), (2, "What is 12 + 15 kg?"), (3, "Paris"), (None, "seven words of an item without id"), (4, table)], "item_id long, text string")
+    rows = [(1, f"see {table} end", 1), (2, "see 4 kg 5 m 6 km 7 Alice 8 Bob 9 kg 10 11 12 13 14 15 16", 1), (3, "so, What is 12 + 15 kg? it asks", 1), (4, "What is 12 + 16 kg?", 1)]
+    rows += [(5, "we went to Paris once", 1), (6, "Paris", 1), (7, "here are seven words of an item without id again", 1), (8, "a clean text of words", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key__ int")
+    got = {(r.doc_id, r.item_id) for r in D.matches(docs, bench).collect()}
+    assert got == {(1, 1), (1, 4), (3, 2), (6, 3), (7, None)}
+    left = D.clean(docs, bench)
+    assert left.columns == docs.columns and {(r.doc_id, r.key__) for r in left.collect()} == {(i, 1) for i in (2, 4, 5, 8)}
+
+
 def test_query_and_empty(spark, tmp_path):
     text = "one two three four five six seven eight nine ten"
     spark.createDataFrame([(1, "so " + text), (1, "so " + text), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
