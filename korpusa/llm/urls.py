@@ -3,15 +3,16 @@
 Two smoothed variable-order Markov models over characters are trained, one on accepted and one on
 rejected URLs: those that a rule decides, and those that hold a seed term. P(c | h) is Witten-Bell
 interpolated from the longest context down to the uniform distribution. A URL's score is the mean over
-its characters of log P_accepted - log P_rejected; the threshold is calibrated on the training URLs,
+its characters of log P_accepted - log P_rejected. Both are trained on and applied to the whole URL after
+the ``://``, query and fragment included, lower-cased (a URL without ``://``: all of it); the threshold is calibrated on the training URLs,
 halfway between the low tail of the accepted and the high tail of the rejected.
 
 Every distinct n-gram is scored once, then joined to the distinct URLs' n-grams, so the work follows
 distinct text, not rows. The n-gram tables are bounded by the alphabet and are left to adaptive
 execution to broadcast or to shuffle by their measured size.
 
-Defined results: null url or one without ``://`` has empty host and path, no rule, and the model's
-verdict on empty text (score 0); every row keeps its own output row; without training URLs of both
+Defined results: null url or one without ``://`` has empty host and path and no rule; null and empty URLs
+score 0, others by their text; very long URLs are scored whole; a score at the threshold (a tie) is allowed; every row keeps its own output row; without training URLs of both
 classes every score is 0 and the model allows; of the input only page_id and url are read.
 """
 
@@ -37,6 +38,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ``://``, or all of a URL without one; empty for null."""
+    at = F.instr(F.coalesce(url, F.lit("")), "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.lit(2147483647))).otherwise(F.coalesce(url, F.lit("")))
+
+
 def ruled(host: Column, path: Column, rules: tuple) -> tuple[Column, Column]:
     """The longest fitting rule's name and verdict, else nulls."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -97,9 +104,9 @@ def threshold(scores: DataFrame) -> float:
 def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple = SEEDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` of every row."""
     host, path = split_url(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.lower(after_scheme(F.col("url"))).alias("s"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), F.lower(F.concat("host", "path")).alias("s"))
+    rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"))
     seeded = F.col("s").rlike("|".join(seeds)) if seeds else F.lit(False)
     label = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", -1).when(seeded, -1).otherwise(0)
     urls = rows.groupBy("s").agg(F.max(label).alias("label"), F.count("*").alias("n"))
