@@ -10,7 +10,8 @@ pieces, and running sums of their lengths (in blocks, so that the work stays nea
 text full of matches) are code-point offsets. Patterns use possessive groups and look-behinds: same
 leftmost matches, but linear on long runs and without recursion.
 
-Defined results: null text counts as empty (no spans); every row keeps its own output row; spans of
+Defined results: null text counts as empty (no spans); very long texts are searched whole; of overlapping
+added spans of different kinds (ties) all are listed, and ``mask`` replaces that of the earlier kind; every row keeps its own output row; spans of
 one kind never overlap; of the input only doc_id and text are read by ``find``; ``mask`` keeps all
 other columns as they are, and leaves null text null.
 """
@@ -188,4 +189,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(BASE), 256).alias("base_sha256"),
         listed(KINDS).alias("spans"),
+        F.array_join(F.concat(*[F.transform(f"found_{k}", lambda s: s["score"].cast("string")) for k in KINDS]), ",").alias("scores"),
     )

@@ -71,3 +71,14 @@ def test_mask_keeps_rows_and_columns(spark):
     assert pii.mask(df).columns == df.columns
     assert got == sorted([(1, "é mail [EMAIL], [IP]!", "s", 3), (2, None, None, None), (2, None, None, None), (3, "clean", "x", 1)], key=str)
     assert pii.mask(df.limit(0)).collect() == []
+
+
+def test_plan_is_native(spark, sf):
+    plan = pii.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_words_nearby_move_the_scores(spark, tmp_path):
+    rows = [(1, "write an e-mail to a@b.cc"), (2, "sample a@b.cc"), (3, "x a@b.cc y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.scores for r in pii.query(spark, str(tmp_path)).collect()} == {1: "0.9", 2: "0.5", 3: "0.7"}
