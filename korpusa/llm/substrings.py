@@ -21,8 +21,11 @@ distinct contexts, and the windows of pieces that occur once, are counted by 128
 spread over all tasks (the exact way for such keys).
 
 Defined results: null text counts as empty; repeated rows are duplicates of each other and each keeps
-its own output row; texts shorter than LENGTH keep all bytes; doc_id may be null; an empty table gives
-an empty result; of the input only doc_id and text are read.
+its own output row; texts shorter than LENGTH keep all bytes; very long ones are cut into contexts whole;
+doc_id may be null (rows are told apart by doc_id and a 64-bit hash of the text); of two equal least hashes
+in a window (a tie) the leftmost counts; equal contexts and windows are recognised by 128 bits of hash (64 of the
+minimizer, 64 of the context; or one of 128) and not compared byte by byte; an empty table gives an empty result; of
+the input only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, stored, table
+from .common import discard, release, split_join, stored, table
 
 LENGTH, KMER = 200, 32
 #: Occurrences of a minimizer that one bucket takes; bytes of contexts indexed at once.
@@ -199,7 +202,7 @@ def spans(hit: np.ndarray) -> list[int]:
 
 
 def text_hash() -> F.Column:
-    return F.pmod(F.xxhash64("text"), F.lit(2147483647)).cast("int")
+    return F.xxhash64("text")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -217,7 +220,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     ["doc_id", "th", "at", "n", "kh"],
                 )
 
-    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(run, "doc_id long, th int, at int, n int, kh long")
+    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(run, "doc_id long, th long, at int, n int, kh long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def packed(docs: DataFrame) -> DataFrame:
             texts = [z.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(texts, pa.binary())], ["doc_id", "th", "z"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, z binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, z binary")
 
 
 def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,11 +268,11 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         else:
                             seen[kh, ch] = True
                             rows.append((kh, ch, doc, th, at, hot, None, not state))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_())
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "ch", "doc_id", "th", "at", "hot", "ctx", "again"])
 
-    schema = "kh long, ch long, doc_id long, th int, at int, hot boolean, ctx binary, again boolean"
+    schema = "kh long, ch long, doc_id long, th long, at int, hot boolean, ctx binary, again boolean"
     return same.select("d.doc_id", "d.th", "z", "list").mapInArrow(run, schema)
 
 
@@ -387,13 +390,13 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", text_hash())
     every = stored(occurrences(docs))
     often = every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh", (F.col("c") > HOT).alias("hot"))
-    listed = stored(cut(docs, every.join(often, "kh")))
+    listed = stored(cut(docs, split_join(every, often, ["kh"])))
     discard(every)
     release(docs.sparkSession)
     shipped = listed.where("ctx is not null or again")
     marks = stored(indexed(shipped).unionByName(counted(shipped)))
     release(docs.sparkSession)
-    places = listed.select("kh", "ch", "doc_id", "th", "at").join(marks, ["kh", "ch"])
+    places = split_join(listed.select("kh", "ch", "doc_id", "th", "at"), marks, ["kh", "ch"])
     per_doc = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "spans")).alias("found"))
     both = packed(docs).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.th") == F.col("p.th")), "left")
 
