@@ -1,9 +1,13 @@
 """Token ids as wavelet matrices, one succinct shard per bounded run of tokens.
 
 A wavelet matrix keeps a sequence of ids as one bit-plane per binary digit, most significant first;
-after each plane the sequence is stably parted by that bit. With a running count of ones every 512
-bits, ``access``, ``rank``, ``count`` and ``select`` read a few words a plane, so one shard answers
-"token at i", "how often" and "where" without being unpacked.
+after each plane the sequence is stably parted by that bit. With a running count of ones every
+BLOCK_BITS bits, ``access``, ``rank``, ``count`` and ``select`` read a few words a plane.
+
+A shard is one self-contained byte string: header, document directory, zeros and running counts of each
+plane, offsets, and the planes in pieces of PIECE_BITS bits, each compressed on its own. ``open_shard``
+reads header, directory and counts only; a lookup then unpacks the pieces that it meets, at most a few
+a plane, so "token at i", "how often" and "where" are answered from the file without unpacking the rest.
 
 Writing: documents are range-partitioned and sorted by doc_id (ties by a hash of the text), tokenised
 in that order, and every run of about SHARD_TOKENS ids becomes one shard: a self-contained byte string
@@ -12,7 +16,7 @@ Spark's own writer is what reaches every store, commits whole tasks and survives
 
 Defined results: null text counts as empty and yields the end id alone; every row keeps its own
 entry, repeated rows included (rows of one doc_id are neighbours); null doc_id sorts first; a document
-longer than a shard gets a longer shard; an empty table gives an empty result; of the input only
+longer than a shard gets a longer shard; ties of doc_id are in the order of the texts' hashes; an empty table gives an empty result; of the input only
 doc_id and text are read.
 """
 
@@ -29,13 +33,14 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, table
 
-MAGIC, END_ID, SHARD_TOKENS, BLOCK_BITS = b"KWM1", 1, 1 << 20, 512
+MAGIC, END_ID, SHARD_TOKENS, BLOCK_BITS, PIECE_BITS = b"KWM2", 1, 1 << 20, 512, 1 << 17
 #: Remembered pieces a worker; a full table is emptied. Longer pieces are not remembered.
 MOST_PIECES, LONG = 800_000, 48
 ROWS_AT_ONCE = 512
@@ -43,12 +48,37 @@ ROWS_AT_ONCE = 512
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class PackedPlane:
+    """A bit-plane in compressed pieces, unpacked when met; slices must lie within a piece, as blocks do."""
+
+    def __init__(self, data: bytes, at: np.ndarray, size: int):
+        self.data, self.at, self.size = data, at, size
+        self.pieces: dict[int, np.ndarray] = {}
+
+    def piece(self, i: int) -> np.ndarray:
+        if i not in self.pieces:
+            size = min(PIECE_BITS // 8, self.size - i * PIECE_BITS // 8)
+            raw = zstandard.ZstdDecompressor().decompress(self.data[self.at[i] : self.at[i + 1]], max_output_size=size)
+            self.pieces[i] = np.frombuffer(raw, np.uint8)
+        return self.pieces[i]
+
+    def __getitem__(self, key: int | slice) -> np.ndarray:
+        if isinstance(key, slice):
+            i, low = divmod(key.start, PIECE_BITS // 8)
+            return self.piece(i)[low : low + key.stop - key.start]
+        i, low = divmod(key, PIECE_BITS // 8)
+        return self.piece(i)[low]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.piece(i) for i in range(len(self.at) - 1)])
+
+
 class WaveletMatrix:
     """Bit-planes over ids, with rank and select."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list, zeros: list[int], counts: list[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.counts = [self._count(p) for p in planes]
+        self.counts = [self._count(p) for p in planes] if counts is None else counts
 
     @staticmethod
     def _count(plane: np.ndarray) -> np.ndarray:
@@ -76,7 +106,8 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for shift, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            whole = plane.whole() if isinstance(plane, PackedPlane) else plane
+            bit = np.unpackbits(whole, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
             up[~bit] = out[:z]
             up[bit] = out[z:] | kind(1 << shift)
@@ -86,7 +117,10 @@ class WaveletMatrix:
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block, rest = divmod(i, BLOCK_BITS)
-        tail = self.planes[level][block * BLOCK_BITS // 8 :][: -(-rest // 8)]
+        if not rest:
+            return int(self.counts[level][block])
+        at = block * BLOCK_BITS // 8
+        tail = self.planes[level][at : at + -(-rest // 8)]
         if rest % 8:
             tail = np.append(tail[:-1], tail[-1] & ((1 << rest % 8) - 1))
         return int(self.counts[level][block]) + int(np.bitwise_count(tail).sum())
@@ -131,7 +165,7 @@ class WaveletMatrix:
 
     def _place(self, level: int, k: int, bit: int) -> int:
         """Place of the k-th (from 0) bit of a kind in a plane."""
-        counts = self.counts[level] if bit else np.arange(len(self.counts[level])) * BLOCK_BITS - self.counts[level]
+        counts = self.counts[level] if bit else np.arange(len(self.counts[level])) * BLOCK_BITS - self.counts[level].astype(np.int64)
         block = int(np.searchsorted(counts, k, side="right")) - 1
         bits = np.unpackbits(self.planes[level][block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8], bitorder="little")
         return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(counts[block])])
@@ -141,16 +175,20 @@ class WaveletMatrix:
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One shard file: magic, counts, directory (has-id flags, doc_ids, lengths), zeros, planes."""
+    """One shard file; see the module's text for its parts."""
     m = WaveletMatrix.build(ids)
     has = np.array([d is not None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
+    step, z = PIECE_BITS // 8, zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
+    pieces = [[z.compress(p[i : i + step].tobytes()) for i in range(0, len(p), step)] for p in m.planes]
+    at = np.cumsum([0, *(len(x) for plane in pieces for x in plane)]).astype("<u8")
     head = MAGIC + struct.pack("<QQI", len(doc_ids), m.n, len(m.planes))
-    body = has.tobytes() + named.tobytes() + np.array(lengths, "<i8").tobytes() + np.array(m.zeros, "<i8").tobytes()
-    return b"".join([head, body, *(p.tobytes() for p in m.planes)])
+    body = [has, named, np.array(lengths, "<i8"), np.array(m.zeros, "<i8"), *(c.astype("<u8") for c in m.counts), at]
+    return b"".join([head, *(x.tobytes() for x in body), *(x for plane in pieces for x in plane)])
 
 
 def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Document ids, their lengths and the matrix, whose planes stay packed."""
     if data[:4] != MAGIC:
         raise ValueError("not a wavelet shard")
     docs, n, levels = struct.unpack_from("<QQI", data, 4)
@@ -162,10 +200,14 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
         at += out.nbytes
         return out
 
-    has, named, lengths, zeros = take("u1", docs), take("<i8", docs), take("<i8", docs), take("<i8", levels)
     size = -(-max(n, 1) // BLOCK_BITS) * BLOCK_BITS // 8
-    planes = [take("u1", size) for _ in range(levels)]
-    return [int(d) if h else None for d, h in zip(named, has, strict=True)], lengths, WaveletMatrix(n, [p.copy() for p in planes], zeros.tolist())
+    each = -(-size // (PIECE_BITS // 8))
+    has, named, lengths, zeros = take("u1", docs), take("<i8", docs), take("<i8", docs), take("<i8", levels)
+    counts = [take("<u8", size * 8 // BLOCK_BITS + 1) for _ in range(levels)]
+    places = take("<u8", levels * each + 1).astype(np.int64)
+    places = places + at
+    planes = [PackedPlane(data, places[i * each : (i + 1) * each + 1], size) for i in range(levels)]
+    return [int(d) if h else None for d, h in zip(named, has, strict=True)], lengths, WaveletMatrix(n, planes, zeros.tolist(), counts)
 
 
 class PieceTokenizer:
@@ -325,6 +367,26 @@ def read_documents(spark: SparkSession, where: str) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def find_tokens(spark: SparkSession, where: str, tokens: list[int]) -> DataFrame:
+    """``(token, doc_id, at)`` of every occurrence of a few tokens, by select on the shard files; at counts from the document's start."""
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column("payload"):
+                doc_ids, lengths, matrix = open_shard(payload.as_py())
+                ends = np.cumsum(lengths)
+                for token in wanted:
+                    places = np.array(matrix.locate(token), np.int64)
+                    doc = np.searchsorted(ends, places, side="right")
+                    ids = [doc_ids[i] for i in doc.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([token] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(places - (ends - lengths)[doc])], ["token", "doc_id", "at"]
+                    )
+
+    return spark.read.schema(SHARDS).parquet(where).select("payload").mapInArrow(run, "token long, doc_id long, at long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark))
     return read_documents(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

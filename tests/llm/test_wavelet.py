@@ -62,3 +62,26 @@ def test_query_checksums(spark, sf):
     text = spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text
     ids = [*W.tokenizer(PATH).tokenizer.encode(text, add_special_tokens=False).ids, 1]
     assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and r.start == 0
+
+
+def test_lookups_unpack_few_pieces():
+    ids = np.random.default_rng(5).integers(0, 50_000, 700_000)
+    ids[::1000] = 49_999
+    data = W.pack_shard([1], [len(ids)], ids)
+    m = W.open_shard(data)[2]
+    each = sum(len(p.at) - 1 for p in m.planes)
+    unpacked = lambda: sum(len(p.pieces) for p in m.planes)
+    assert unpacked() == 0 and each >= 96
+    assert m.access(123_456) == ids[123_456] and unpacked() <= len(m.planes)
+    assert m.count(49_999) == (ids == 49_999).sum() and unpacked() <= 3 * len(m.planes)
+    assert m.select(49_999, 5) == np.flatnonzero(ids == 49_999)[5] and unpacked() <= 4 * len(m.planes)
+    assert (W.open_shard(data)[2].tokens() == ids).all()
+
+
+def test_occurrences_come_from_the_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    where = W.write_shards(docs, PATH, str(tmp_path))
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in W.read_documents(spark, where).collect()}
+    word = int(next(x for x in ids.values() if len(x) > 3)[2])
+    want = sorted((t, d, int(i)) for t in (word, 1, 48_000) for d, x in ids.items() for i in np.flatnonzero(x == t))
+    assert sorted(map(tuple, W.find_tokens(spark, where, [word, 1, 48_000]).collect())) == want
