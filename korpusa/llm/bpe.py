@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, sliced, table
 
 #: Remembered pieces and pairs a worker; a full table is emptied. Longer pieces are not remembered.
 MOST_PIECES, MOST_PAIRS, LONG = 200_000, 200_000, 48
@@ -230,14 +230,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for whole in batches:
-            for at in range(0, len(whole), ROWS_OUT):
-                b = whole.slice(at, ROWS_OUT)
-                ids = [e.encode(t.as_py() or "") for t in b.column("text")]
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for b in sliced(batches, ROWS_OUT):
+            ids = [e.encode(t.as_py() or "") for t in b.column("text")]
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
         e.forget()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -247,11 +245,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_table(path)
-        for whole in batches:
-            for at in range(0, len(whole), ROWS_OUT):
-                b = whole.slice(at, ROWS_OUT)
-                decoded = pa.array([unpack(tokens, x.as_py()) for x in b.column("ids")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, decoded], [*b.schema.names, "decoded"])
+        for b in sliced(batches, ROWS_OUT):
+            decoded = pa.array([unpack(tokens, x.as_py()) for x in b.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 

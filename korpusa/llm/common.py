@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -9,6 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +100,32 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that texts are not all unpacked at once; what the task freed goes back to the machine at its end."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker, which lives on for tasks of other stages, to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def packed_rows(column: pa.BinaryArray, kind: str) -> list[np.ndarray]:
+    """The rows of a binary column as arrays over its own memory."""
+    size = np.dtype(kind).itemsize
+    _, offsets, values = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    return [np.frombuffer(values, kind, (y - x) // size, x) if y > x else np.zeros(0, kind) for x, y in zip(at, at[1:], strict=False)]
+
+
 #: A key is heavy with more rows than this, or than its share of all rows where that is more.
 HEAVY, HEAVY_SHARE = 50_000, 10_000
 

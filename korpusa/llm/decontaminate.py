@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, sliced, table
 
 WINDOW, MIN_COVER, MOST_SHIPPED, LEAST_WORDS = 8, 0.5, 2_000_000, 4
 LITERAL, NUMBER, CAPITAL, UNIT, SIGN, STOP = range(6)
@@ -51,7 +51,7 @@ SIGNS = frozenset("%$€£¥°")
 TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[%$€£¥°]|[.!?:]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACEHOLDER = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in (NUMBER, CAPITAL, UNIT)}
-MOST_CHUNKS, LONG = 400_000, 48
+MOST_CHUNKS, LONG = 150_000, 48
 
 
 class Lexicon(dict):
@@ -188,7 +188,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon()
         known = shipped.value if shipped is not None else None
-        for b in batches:
+        for b in sliced(batches, 1024):
             key, doc, at_, h_, slots_ = [], [], [], [], []
             for k, d, text in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if len(lex) > MOST_CHUNKS or len(lex.texts) > MOST_CHUNKS:

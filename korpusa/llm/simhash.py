@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, free_name, split_join, stored, table
+from .common import connected_components, durable, free_name, packed_rows, sliced, split_join, stored, table
 
 BITS, PARTS, WIDTH = 64, 4, 16
 #: Most fingerprints of one key that one task holds; a larger key is cut into blocks of about this size.
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
 #: Views of a text, shingles a view samples, and views in which a pair must agree to be found for certain.
 VIEWS, SAMPLED, AGREE = 12, 3, 2
 #: Most bytes of shingle sets in a block; a larger bucket is cut into blocks and every pair of blocks is visited.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MIX = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 2**63, VIEWS).tolist()]
 
 
@@ -407,21 +407,19 @@ def sketched(keyed: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal texts of one task need one sketch; forgetting some costs time only
-        for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
-                rows = []
-                for th, text in zip(b.column("th").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                    if th in seen:
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(th)
-                    h = np.unique(shingle_hashes(text.as_py(), shingle))
-                    rows.append((th, views_of(h).view(np.int64).tolist(), len(h)))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "n"])
+        for b in sliced(batches, 1024):
+            rows = []
+            for th, text in zip(b.column("th").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                if th in seen:
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(th)
+                h = np.unique(shingle_hashes(text.as_py(), shingle))
+                rows.append((th, views_of(h).view(np.int64).tolist(), len(h)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["th", "views", "n"])
 
     sketches = keyed.select("th", "text").mapInArrow(run, "th long, views array<long>, n long")
     return sketches.groupBy("th").agg(F.first("views").alias("views"), F.first("n").alias("n"))
@@ -475,15 +473,15 @@ def text_groups(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     members = stored(split_join(members, live, ["v", "fp"]))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
-                made = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in b.column("text").cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(made, pa.binary())], ["th", "hashes"])
+        for b in sliced(batches, 1024):
+            made = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(made, pa.binary())], ["th", "hashes"])
 
     first = keyed.select("th", F.col("row__")).groupBy("th").agg(F.min("row__").alias("row__"))  # one row of each text
     wanted = members.select("th").distinct().join(first, "th").select("row__")
-    texts = keyed.join(wanted, "row__", "left_semi").select("th", "text").dropDuplicates(["th"])
+    texts = keyed.join(wanted, "row__", "left_semi").select("th", "text")
+    if not keyed.groupBy("row__").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["th"])  # rows that repeat both id and text
     sets = stored(texts.mapInArrow(whole_sets, "th long, hashes binary"))
 
     led = stored(leader_links(members, sketches.select("th", "n"), sets, similarity))
@@ -500,19 +498,20 @@ def text_groups(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive by bucket and pair of blocks."""
         at, held = None, []
-        for b in batches:
+        for b in sliced(batches, 1024):
             cols = [b.column(c).to_pylist() for c in ("v", "fp", "i", "j")]
-            for key, *row in zip(zip(*cols, strict=True), *(b.column(c).to_pylist() for c in ("th", "hashes", "side", "sure", "probe")), strict=True):
+            rest = [b.column(c).to_pylist() for c in ("th", "side", "sure", "probe")]
+            for key, hashes, *row in zip(zip(*cols, strict=True), packed_rows(b.column("hashes"), "<u8"), *rest, strict=True):
                 if key != at:
                     yield from links(held)
                     at, held = key, []
-                held.append(row)
+                held.append((hashes.copy(), *row))
         yield from links(held)
 
     def links(held: list[list]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            th, hashes, side, sure, probe = zip(*held, strict=True)
-            found = connecting([np.frombuffer(x, "<u8") for x in hashes], np.array(side), np.array(sure), np.array(probe), similarity)
+            hashes, th, side, sure, probe = zip(*held, strict=True)
+            found = connecting(list(hashes), np.array(side), np.array(sure), np.array(probe), similarity)
             yield pa.RecordBatch.from_arrays([pa.array([th[x] for x, _ in found], pa.int64()), pa.array([th[y] for _, y in found], pa.int64())], ["a", "b"])
 
     linked = blocks.mapInArrow(compare, "a long, b long").unionByName(led.select(F.col("th").alias("a"), F.col("lead").alias("b")))
@@ -533,12 +532,11 @@ def leader_links(members: DataFrame, sizes: DataFrame, sets: DataFrame, similari
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.zeros(0, np.uint64)
-        for b in batches:
+        for b in sliced(batches, 1024):
             keep = []
-            for rank, hashes in zip(b.column("rank").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                own = np.frombuffer(hashes, "<u8")
+            for rank, own in zip(b.column("rank").to_pylist(), packed_rows(b.column("hashes"), "<u8"), strict=True):
                 if rank == 0:
-                    lead = own
+                    lead = own.copy()
                 keep.append(rank == 1 and alike(own, lead, similarity))
             yield b.select(["th", "lead"]).filter(pa.array(keep, pa.bool_()))
 
