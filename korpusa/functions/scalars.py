@@ -55,7 +55,8 @@ def legacy_id(c: Column | str) -> Column:
 def display_score(raw: Column, rank: Column) -> Column:
     """Raw retrieval score on the 0-99.9 display scale, slightly lower for each later rank (from 1)."""
     shown = F.when(raw < 0.1, F.least(F.lit(75.0), 65.0 + raw * 300)).otherwise(F.least(F.lit(99.9), 75.0 + raw * 8.5))
-    return F.round(F.greatest(F.lit(0.0), shown - rank * 0.14), 2)
+    exact = F.greatest(F.lit(0.0), shown - rank * 0.14).cast("decimal(20,9)")  # so that a half is one wherever it is computed
+    return F.round(exact, 2).cast("double")
 
 
 def roman_to_int(c: Column | str) -> Column:

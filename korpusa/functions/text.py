@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import col, one_space
+from .scalars import any_of, col, one_space
 
 WORD = "[\\p{L}\\p{N}_]+"
 TABLE_NUMBER = r"\b(?:tabel|table)\s*(?:ke[-\s]*)?([0-9]{1,3})\b"
@@ -58,15 +58,16 @@ def strip_html(c: Column | str) -> Column:
 
 
 def strip_emphasis(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(c), r"\*\*([^*]+)\*\*", "$1"), r"__([^_]+)__", "$1")
+    """Without any ``**`` and ``__``, runs of spaces as one."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"\*\*|__", ""), "  +", " ")
 
 
 def is_table_like(c: Column | str) -> Column:
-    """A pipe plus the word tabel; or three lines of which two are ``key: value; ...``; or tabel and one such line."""
+    """A pipe plus the word tabel; or three lines of which two are ``key: value; ...``, or one where tabel is named."""
     lines = F.filter(F.split(col(c), "\n"), lambda x: F.trim(x) != "")
     pairs = F.size(F.filter(lines, lambda x: x.contains(":") & x.contains(";")))
     named = F.lower(col(c)).contains("tabel")
-    return (col(c).contains("|") & named) | ((F.size(lines) >= 3) & (pairs >= 2)) | (named & (pairs >= 1))
+    return (col(c).contains("|") & named) | ((F.size(lines) >= 3) & ((pairs >= 2) | (named & (pairs >= 1))))
 
 
 def is_pipe_table(c: Column | str) -> Column:
@@ -89,30 +90,97 @@ def classify_query(c: Column | str) -> Column:
     )
 
 
-def detect_doc_type(c: Column | str) -> Column:
-    t = F.lower(F.substring(col(c), 1, 4000))
+def _any(c: Column, words: list[str]) -> Column:
+    return any_of(*[c.contains(w) for w in words])
+
+
+#: Words in file names and texts that tell a document's type, fixed values.
+REGULATION_FILES = ["perpres", "pp_", "permen", "peraturan", "se_"]
+REGULATION_TEXTS = ["peraturan presiden", "peraturan pemerintah", "peraturan menteri"]
+STRUCTURE_FILES = ["perpres", "permen", "peraturan", "bssn", "uu_", "pp_"]
+REPORT_FILES = ["laporan", "evaluasi", "audit", "hasil"]
+UPLOAD_FILES = ["pp", "perpres", "permen", "peraturan"]
+
+
+def stored_type(name: Column | str, text: Column | str) -> Column:
+    """peraturan, audit or other: of a stored document, by file name and the first 2,000 characters (part of the rule)."""
+    n, t = F.lower(col(name)), F.lower(F.substring(col(text), 1, 2000))
+    return F.when(_any(n, REGULATION_FILES) | _any(t, REGULATION_TEXTS), "peraturan").when(_any(n, ["audit", "laporan"]), "audit").otherwise("other")
+
+
+def structure_type(name: Column | str, text: Column | str, hint: Column | str = "") -> Column:
+    """The parser of a document, by file name, a folder's hint and the first 2,000 characters (part of the rule)."""
+    n, t = F.lower(col(name)), F.lower(F.substring(col(text), 1, 2000))
+    hinted = F.lit(hint) if isinstance(hint, str) else hint
+    articles = F.regexp_count(t, F.lit(r"pasal\s+[0-9]+"))
     return (
-        F.when(t.contains("surat edaran"), "surat_edaran")
-        .when(t.contains("petunjuk teknis"), "petunjuk_teknis")
-        .when(t.contains("pedoman"), "pedoman")
-        .when(t.rlike(r"\bpasal\s+[0-9]+") | t.contains("peraturan"), "peraturan")
-        .when(t.contains("laporan") & t.contains("spbe"), "laporan_spbe")
-        .when(t.contains("laporan"), "laporan")
-        .otherwise("umum")
+        F.when(n.contains("pedoman") & n.contains("aparatur") & n.contains("reformasi"), "pedoman_spbe")
+        .when(n.rlike("evaluasi[ _]spbe"), "laporan_spbe")
+        .when(hinted != "", hinted)
+        .when(_any(n, STRUCTURE_FILES) | ((articles > 0) & t.rlike(r"bab\s+[ivxlcdm]+")), "peraturan")
+        .when(_any(n, REPORT_FILES), "laporan")
+        .when(articles >= 3, "peraturan")
+        .otherwise("laporan")
     )
 
 
+def upload_type(name: Column | str) -> Column:
+    n = F.lower(col(name))
+    return F.when(n.contains("audit"), "audit").when(_any(n, UPLOAD_FILES), "peraturan").otherwise("other")
+
+
+def clean_title(c: Column | str) -> Column:
+    """Without ``.pdf`` and underscores, spaces and hyphens trimmed."""
+    text = F.translate(F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"(?i)\.pdf$", ""), "_", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ -]+|[ -]+$", "")
+
+
 def regulation_type(c: Column | str) -> Column:
-    t = F.lower(col(c))
+    t = F.lower(F.coalesce(col(c), F.lit("")))
     return (
-        F.when(t.contains("peraturan presiden") | t.contains("perpres"), "Perpres")
-        .when(t.contains("peraturan menteri") | t.contains("permen"), "Permen")
-        .when(t.contains("peraturan pemerintah"), "PP")
-        .when(t.contains("surat edaran"), "SE")
+        F.when(t.rlike(r"peraturan presiden|\bperpres\b"), "perpres")
+        .when(t.rlike(r"peraturan menteri|permenpan|\bpermen\b"), "permen")
+        .when(t.rlike(r"peraturan pemerintah|\bpp\b"), "pp")
+        .when(t.contains("pedoman"), "pedoman")
+        .when(t.contains("laporan"), "laporan")
         .otherwise("")
     )
 
 
+def suspicious_title(c: Column | str) -> Column:
+    """Empty, or with number and year where the subject should stand, or with two years."""
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    twice = (F.regexp_count(t, F.lit("tahun")) >= 2) & t.rlike(r"\bnomor\s+[0-9]+.*\btahun\s+[0-9]{4}.*\btahun\s+[0-9]{4}\b")
+    return (t == "") | t.rlike(r"\btentang\s+[0-9]+\s+tahun\s+[0-9]{4}\b") | twice
+
+
+def best_title(title: Column | str, name: Column | str) -> Column:
+    """The title, or the file name where that is more to be trusted."""
+    t, n = clean_title(title), clean_title(name)
+    kinds = regulation_type(t), regulation_type(n)
+    apart = (kinds[0] != "") & (kinds[1] != "") & (kinds[0] != kinds[1])
+    doubtful = apart | suspicious_title(t) | ((F.length(t) < 12) & (F.length(n) > F.length(t)))
+    return F.when(t == "", F.when(n == "", "Dokumen").otherwise(n)).when((n != "") & doubtful, n).otherwise(t)
+
+
+def about_text(c: Column | str) -> Column:
+    """Subject phrase without its leading word; all capitals become title case, known abbreviations stay."""
+    text = F.trim(F.regexp_replace(clean_title(c), r"^(?i:tentang)\s+", ""))
+    titled = F.initcap(text)
+    for word in ("SPBE", "TIK", "BSSN"):
+        titled = F.regexp_replace(titled, rf"\b{word.capitalize()}\b", word)
+    titled = F.regexp_replace(titled, r"\bPan\s*Rb\b", "PAN RB")
+    loud = (F.upper(text) == text) & (F.lower(text) != text) & (F.length(text) > 6)
+    return F.regexp_replace(F.when(loud, titled).otherwise(text), r"^[ -]+|[ -]+$", "")
+
+
+def cover_title(title: Column | str, name: Column | str, about: Column | str) -> Column:
+    """Title with its subject, as on a document's cover."""
+    base, subject = best_title(title, name), about_text(about)
+    plain = (subject == "") | suspicious_title(subject) | F.lower(base).contains(F.lower(subject)) | F.lower(base).contains("tentang")
+    return F.when(plain, base).when(base == "Dokumen", subject).otherwise(F.concat(base, F.lit(" tentang "), subject))
+
+
 def ordered_unique(c: Column) -> Column:
     """First of each value, compared case-insensitively; nulls and blanks out."""
     some = F.filter(c, lambda x: x.isNotNull() & (x != ""))
@@ -152,14 +220,57 @@ def focus_terms(c: Column | str, most: int = 8, stop: list[str] = STOPWORDS) ->
 
 
 def citation_ids(c: Column | str) -> Column:
-    """Distinct ``[n]`` numbers in numeric order."""
-    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[([0-9]{1,4})\]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
+    """Distinct ``[n]`` numbers in order of appearance."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[([0-9]+)\]"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: x.try_cast("bigint")))
 
 
 def sanitize_citations(c: Column | str, sources: Column | str) -> Column:
     """Text without ``[n]`` that exceed the number of sources, spaces tidied."""
-    bad = F.filter(citation_ids(c), lambda n: (n < 1) | (n > col(sources)))
-    out = F.aggregate(bad, col(c), lambda t, n: F.replace(t, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
-    out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    return F.trim(F.regexp_replace(out, r" ([.,;:])", "$1"))
+    found = F.array_distinct(F.regexp_extract_all(col(c), F.lit(r"(\[[0-9]+\])"), F.lit(1)))
+    number = lambda x: F.regexp_extract(x, "[0-9]+", 0).try_cast("bigint")
+    bad = F.filter(found, lambda x: ~F.coalesce((number(x) >= 1) & (number(x) <= col(sources)), F.lit(False)))
+    out = F.aggregate(bad, col(c), lambda t, x: F.replace(t, x, F.lit("")))
+    for what, by in (("  +", " "), (r" +\.", "."), (" +,", ",")):
+        out = F.regexp_replace(out, what, by)
+    return F.trim(out)
+
+
+#: Figure kinds and the caption words that tell them, in order of test; fixed values.
+FIGURE_KINDS = [
+    ("pie_chart", r"\b(pie|lingkaran)\b"),
+    ("bar_chart", r"\b(bar|batang)\b"),
+    ("line_chart", r"\b(line|garis|tren|capaian.*tahun|indeks.*[0-9]{4})\b"),
+    ("bar_chart", r"\b(grafik|chart)\b"),
+    ("timeline_image", r"\b(lini masa|timeline|kronologi)\b"),
+    ("diagram", r"\b(diagram|struktur|alur|hierarki|kriteria|peta|tingkat)\b"),
+    ("photo", r"\b(foto|presiden)\b|tim pelaksanaan"),
+    ("table_image", r"\btabel\b"),
+]
+
+
+def figure_kind(caption: Column | str, w: Column | str, h: Column | str) -> Column:
+    """Kind of a figure by its caption; without a telling word by its shape."""
+    text = F.lower(F.coalesce(col(caption), F.lit("")))
+    rest = F.when((col(h) > 0) & (col(w) / F.nullif(col(h), F.lit(0)) > 2.5), "timeline_image").otherwise("diagram")
+    return F.coalesce(*[F.when(text.rlike(p), kind) for kind, p in FIGURE_KINDS], rest)
+
+
+def split_summary(c: Column | str) -> Column:
+    """``(summary, detail)`` of a figure description: its labelled parts, else its first paragraph and the others."""
+    labelled = [F.trim(F.regexp_extract(col(c), p, 1)) for p in (r"(?is)SUMMARY\s*:\s*(.+?)(?:DETAIL\s*:|$)", r"(?is)DETAIL\s*:\s*(.+)$")]
+    parts = F.filter(F.transform(F.split(col(c), "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    rest = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), "\n\n")).otherwise(first)
+    both = (labelled[0] != "") & (labelled[1] != "")
+    return F.struct(F.when(both, labelled[0]).otherwise(first).alias("summary"), F.when(both, labelled[1]).otherwise(rest).alias("detail"))
+
+
+def ocr_summary(raw: Column | str, caption: Column | str) -> Column:
+    """``(summary, detail)`` of recognised text: caption with its first 200 characters, caption with all of it."""
+    text = F.trim(col(raw))
+    short = F.concat(col(caption), F.lit(": "), F.replace(F.substring(text, 1, 200), F.lit("\n"), F.lit(" ")))
+    return F.struct(
+        F.when(text == "", F.concat(col(caption), F.lit(": (kosong)"))).otherwise(short).alias("summary"),
+        F.when(text == "", col(caption)).otherwise(F.concat(col(caption), F.lit("\n\n"), text)).alias("detail"),
+    )

@@ -1,58 +1,146 @@
-"""BM25 (Okapi) as tables: postings, document lengths and term statistics.
+"""BM25 (Okapi) and token overlap of a stated question set, as two passes over the texts.
 
-Scoring is an equi-join of query terms and postings, never a product of queries and documents; only
-postings of query terms are built. Term statistics need every term's document frequency, because the
-floor of negative weights is a share of the mean over the vocabulary.
+The first pass counts terms by document (one shuffle of distinct terms, partial sums first); it gives
+document frequencies, the number of tokens and the floor of negative weights, a share of the mean over
+the vocabulary. What questions need of it, the weights of their own terms, is small and shipped after a
+check of its size. The second pass scores every text where it is read, against all questions in blocks,
+and each task keeps k a question; only these are shuffled. So words that all texts share cost no
+shuffle. Questions with more than MOST_SHIPPED terms in all are joined with postings instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+MOST_SHIPPED, QUESTIONS, TEXTS = 1_000_000, 512, 512
+
 
+def search_text(*fields: Column) -> Column:
+    """Text to index: the fields that are not blank, in order, joined by a space."""
+    return F.array_join(F.filter(F.transform(F.array(*[f.cast("string") for f in fields]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), " ")
 
-def term_statistics(toks: DataFrame, n: int) -> DataFrame:
-    """``(term, idf)`` over ``toks(id, toks)``; negative idf becomes FLOOR of the vocabulary's mean.
 
-    Frequencies are shuffled once: the mean reuses that exchange and comes back as one broadcast row.
+def term_weights(toks: DataFrame, n: int, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, term, qf, idf)`` of the questions' terms, and one row with the mean length ``mean``.
+
+    Terms are shuffled once; both results reuse that exchange.
     """
-    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "idf")
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    both = raw.join(F.broadcast(mean))  # one row
-    return both.select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    kinds = toks.select(F.size("toks").alias("n"), F.array_distinct("toks").alias("kinds"))
+    # its sum over a text's distinct terms is the text's length
+    terms = kinds.select((F.col("n") / F.size("kinds")).alias("share"), "kinds").select("share", F.explode("kinds").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("share").alias("tokens"))
+    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    whole = raw.agg(F.avg("idf").alias("average"), (F.round(F.sum("tokens")) / n).alias("mean"))
+    both = raw.join(F.broadcast(asked.select("term").distinct()), "term").join(F.broadcast(whole))  # one row
+    floored = F.when(F.col("idf") < 0, FLOOR * F.col("average")).otherwise(F.col("idf"))
+    return asked.join(both.select("term", floored.alias("idf")), "term", "left"), whole
+
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` with score > 0 for ``docs(id, text)`` and ``queries(query_id, text)``.
 
-    A term that a question repeats counts as often. Scores are rounded to 6 places.
+def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+    """``(kind, query_id, id, score, rank)``: k best of ``docs(id, text)`` for each of ``queries(query_id, text)``.
+
+    kind is ``bm25`` (score above 0) or ``overlap`` (distinct tokens that text and question share). A term
+    that a question repeats counts as often. Scores are rounded to 6 places; ties go to the smaller id.
+    ``same`` names a column of both that must agree (a document scope, applied before ranking).
     """
-    toks = docs.select("id", tokens("text").alias("toks"))
-    n, mean = toks.agg(F.count("*"), F.avg(F.size("toks"))).first()
-    stats = term_statistics(toks, n)
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weights = asked.join(stats, "term")
-    postings = (
-        toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
-    scored = weights.join(postings, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.where("score > 0")
-
-
-def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, id, score)``: distinct tokens that text and question share."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    have = docs.select("id", F.explode(F.array_distinct(tokens("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    return asked.join(have, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    keep = [same] if same else []
+    toks = docs.select("id", tokens("text").alias("toks"), *keep)
+    n, asked = docs.count(), asked_terms(queries)
+    if not n:
+        return _ranked(docs.sparkSession.createDataFrame([], "kind string, query_id long, id long, score double"), k)
+    weights, whole = term_weights(toks, n, asked)
+    shipped = weights.join(F.broadcast(whole.select("mean"))).limit(MOST_SHIPPED + 1).toArrow()
+    if len(shipped) > MOST_SHIPPED:
+        return _joined(toks, weights, whole, queries, k, keep)
+    scopes = dict(queries.select("query_id", same).collect()) if same else {}
+    terms = pc.unique(shipped["term"])
+    place = pc.index_in(shipped["term"], value_set=terms).to_numpy()
+    query, row = np.unique(shipped["query_id"].to_numpy(), return_inverse=True)
+    idf = np.nan_to_num(shipped["idf"].to_numpy().astype(float))  # a term that no text has
+    weight, mean = shipped["qf"].to_numpy() * idf, float(shipped["mean"][0].as_py() or 1.0) if len(shipped) else 1.0
+    shared = docs.sparkSession.sparkContext.broadcast((terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms, place, query, row, weight, mean or 1.0, scopes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, place, query, row, weight, mean, scopes = shared.value
+        kept = {kind: (np.full((len(query), k), -np.inf), np.full((len(query), k), np.iinfo(np.int64).max)) for kind in ("bm25", "overlap")}
+        scope = np.array([scopes.get(int(q)) for q in query], object) if scopes else None
+        blocks = []
+        for lo in range(0, len(query), QUESTIONS):
+            at = np.flatnonzero((row >= lo) & (row < lo + QUESTIONS))
+            used, col = np.unique(place[at], return_inverse=True)
+            w = np.zeros((len(used), min(QUESTIONS, len(query) - lo)))
+            w[col, row[at] - lo] = weight[at]
+            has = np.zeros_like(w)
+            has[col, row[at] - lo] = 1.0
+            blocks.append((lo, used, w, has))
+        for batch in batches:
+            for start in range(0, len(batch), TEXTS):
+                b = batch.slice(start, TEXTS)
+                lists, ids = b.column("toks"), b.column("id").to_numpy()
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.index_in(lists.flatten(), value_set=terms)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(b)), size)[known]
+                key, tf = np.unique(doc * len(terms) + found.drop_null().to_numpy().astype(np.int64), return_counts=True)
+                doc, term = np.divmod(key, max(len(terms), 1))
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+                for lo, used, w, has in blocks:
+                    col = np.searchsorted(used, term)
+                    ok = (col < len(used)) & (used[np.minimum(col, len(used) - 1)] == term) if len(used) else np.zeros(len(term), bool)
+                    f, g = np.zeros((len(b), len(used))), np.zeros((len(b), len(used)))
+                    f[doc[ok], col[ok]], g[doc[ok], col[ok]] = part[ok], 1.0
+                    allowed = np.ones((w.shape[1], len(b)), bool)
+                    if scope is not None:
+                        allowed = scope[lo : lo + w.shape[1], None] == np.array(b.column(keep[0]).to_pylist(), object)[None, :]
+                    for kind, scores in (("bm25", np.round(f @ w, 6).T), ("overlap", np.rint(g @ has).T)):
+                        scores = np.where((scores > 0) & allowed, scores, -np.inf)
+                        s0, i0 = kept[kind]
+                        s = np.concatenate([s0[lo : lo + len(scores)], scores], axis=1)
+                        i = np.concatenate([i0[lo : lo + len(scores)], np.broadcast_to(ids, scores.shape)], axis=1)
+                        order = np.lexsort((i, -s), axis=1)[:, :k]
+                        s0[lo : lo + len(scores)], i0[lo : lo + len(scores)] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        for kind, (s, i) in kept.items():
+            r, c = np.nonzero(s > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(r), pa.string()), pa.array(query[r], pa.int64()), pa.array(i[r, c]), pa.array(s[r, c])], ["kind", "query_id", "id", "score"])
+
+    return _ranked(toks.mapInArrow(run, "kind string, query_id long, id long, score double"), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("kind", "query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _joined(toks: DataFrame, weights: DataFrame, whole: DataFrame, queries: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """best() by an equi-join of weights and postings, for question sets too large to ship."""
+    postings = toks.select("id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = weights.join(queries.select("query_id", *keep), "query_id") if keep else weights
+    part = F.col("qf") * F.coalesce("idf", F.lit(0.0)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    met = wanted.join(postings, ["term", *keep]).join(F.broadcast(whole.select("mean")))  # one row
+    sums = met.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("bm25"), F.count("*").cast("double").alias("overlap"))
+    scored = sums.select("query_id", "id", F.explode(F.create_map(F.lit("bm25"), "bm25", F.lit("overlap"), "overlap")).alias("kind", "score"))
+    return _ranked(scored.where("score > 0").select("kind", "query_id", "id", "score"), k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+    return best(docs, queries, k, same).where("kind = 'bm25'").drop("kind")
+
+
+def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return best(docs, queries, k).where("kind = 'overlap'").drop("kind")
 
 
 def top(scored: DataFrame, k: int, group: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:

@@ -27,13 +27,13 @@ def top_cosine(data: DataFrame, queries: DataFrame, k: int, same: str | None = N
     d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        rows = column.to_pylist()
-        width = max((len(r) for r in rows), default=0)
+        rows = column.combine_chunks()
+        size = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, width = rows.flatten().to_numpy(zero_copy_only=False), int(size.max(initial=0))
         out = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            out[i, : len(r)] = r
-        size = np.linalg.norm(out, axis=1)
-        return out / np.where(size == 0, 1, size)[:, None]
+        out[np.repeat(np.arange(len(rows)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+        norm = np.linalg.norm(out, axis=1)
+        return out / np.where(norm == 0, 1, norm)[:, None]
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = matrix(left["vec"]), matrix(right["vec"])

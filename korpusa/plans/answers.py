@@ -42,7 +42,7 @@ def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_rate_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark questions against documents by BM25; a hit is a document labelled good."""
     docs, asked = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    ranked = lexical.top(lexical.bm25(docs, asked), 10)
+    ranked = lexical.bm25(docs, asked, 10)
     good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
     found = ranked.join(good, "id", "left_semi").groupBy("query_id").agg(F.min("rank").alias("found_at"))
     return Q.hit_metrics(asked.select("query_id").join(found, "query_id", "left"))

@@ -23,7 +23,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(lexical.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)), K)
+    return lexical.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), K)
 
 
 BM25_CTES = """
@@ -55,7 +55,7 @@ def _ctes(k: int) -> str:
 
 
 def lexical_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(lexical.overlap(_docs(spark, sf_dir), _asked(spark, sf_dir)), K)
+    return lexical.overlap(_docs(spark, sf_dir), _asked(spark, sf_dir), K)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +84,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    lists = [lexical.top(lexical.bm25(docs, asked), 20), lexical.top(lexical.overlap(docs, asked), 20)]
-    return fusion.reciprocal_rank_fusion(lists)
+    return fusion.reciprocal_rank_fusion([lexical.best(_docs(spark, sf_dir), _asked(spark, sf_dir), 20)])  # both kinds of list
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +103,7 @@ HYBRID_SQL = f"""
 WITH {_ctes(20)},
 best AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rrf) WHERE rank <= 5)
 SELECT query_id, rank, CAST(id AS VARCHAR) AS doc_id, source AS title, lang AS section,
-  round(greatest(0.0, (CASE WHEN score < 0.1 THEN least(75.0, 65.0 + score * 300) ELSE least(99.9, 75.0 + score * 8.5) END) - rank * 0.14), 2) AS shown,
+  CAST(round(CAST(greatest(0.0, (CASE WHEN score < 0.1 THEN least(75.0, 65.0 + score * 300) ELSE least(99.9, 75.0 + score * 8.5) END) - rank * 0.14) AS DECIMAL(20, 9)), 2) AS DOUBLE) AS shown,
   CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet
 FROM best JOIN documents ON doc_id = id
 """
@@ -201,12 +199,13 @@ def literal_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal_indicator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by indicator number: path first, then header, then text; each chunk once, at most 5 each."""
+    """Chunks whose path, else header, names the indicator that a question asks for; each once, at most 5 a question, score 2.5."""
     q = fx.frame(spark, fx.QUESTIONS, fx.QUESTION_SCHEMA).select("query_id", F.regexp_extract(F.lower("text"), INDICATOR_NUMBER, 1).alias("n")).where("n <> ''")
-    places = F.array(*[F.struct(F.lit(i).alias("probe"), F.regexp_extract_all(F.lower(c), F.lit(r"indikator\s+([0-9]{1,3})"), F.lit(1)).alias("ns")) for i, c in enumerate(("hierarchy", "context_header", "text"))])
+    places = F.array(*[F.struct(F.lit(i).alias("probe"), F.regexp_extract_all(F.lower(c), F.lit(r"indikator\s+([0-9]{1,3})\b"), F.lit(1)).alias("ns")) for i, c in enumerate(("hierarchy", "context_header"))])
     c = fx.frame(spark, fx.CHUNKS, fx.CHUNK_SCHEMA).select("id", F.explode(places).alias("p")).select("id", "p.probe", F.explode("p.ns").alias("n"))
-    first = q.join(c, "n").groupBy("query_id", "id").agg(F.min("probe").alias("probe")).withColumn("score", 2.5 - F.col("probe"))
-    return lexical.top(first.select("query_id", "id", "score"), 5)
+    first = q.join(c, "n").groupBy("query_id", "id").agg(F.min("probe").alias("probe"))
+    ranked = lexical.top(first.withColumn("score", -F.col("probe").cast("double")), 5)
+    return ranked.select("query_id", "id", F.lit(2.5).alias("score"), "rank")
 
 
 LITERAL_TABLE_SQL = rf"""
@@ -216,11 +215,10 @@ SELECT query_id, id, CAST(2.0 AS DOUBLE) AS score, row_number() OVER (PARTITION
 """
 LITERAL_INDICATOR_SQL = rf"""
 WITH q AS (SELECT query_id, regexp_extract(lower(text), '\b(?:indikator|id)[-\s]*(?:ke[-\s]*)?([0-9]{{1,3}})\b', 1) AS n FROM {QUESTIONS}),
-c AS (SELECT id, 0 AS probe, unnest(regexp_extract_all(lower(hierarchy), 'indikator\s+([0-9]{{1,3}})', 1)) AS n FROM {CHUNKS}
-  UNION ALL SELECT id, 1, unnest(regexp_extract_all(lower(context_header), 'indikator\s+([0-9]{{1,3}})', 1)) FROM {CHUNKS}
-  UNION ALL SELECT id, 2, unnest(regexp_extract_all(lower(text), 'indikator\s+([0-9]{{1,3}})', 1)) FROM {CHUNKS}),
-f AS (SELECT query_id, id, CAST(2.5 - min(probe) AS DOUBLE) AS score FROM q JOIN c USING (n) WHERE n <> '' GROUP BY query_id, id)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5
+c AS (SELECT id, 0 AS probe, unnest(regexp_extract_all(lower(hierarchy), 'indikator\s+([0-9]{{1,3}})\b', 1)) AS n FROM {CHUNKS}
+  UNION ALL SELECT id, 1, unnest(regexp_extract_all(lower(context_header), 'indikator\s+([0-9]{{1,3}})\b', 1)) FROM {CHUNKS}),
+f AS (SELECT query_id, id, min(probe) AS probe FROM q JOIN c USING (n) WHERE n <> '' GROUP BY query_id, id)
+SELECT query_id, id, CAST(2.5 AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY probe, id) AS rank FROM f QUALIFY rank <= 5
 """
 
 
@@ -236,7 +234,7 @@ def ngram_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NGRAM_SQL = r"""
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, range(2, 5) r(n), range(1, 400) s(i) WHERE i + n - 1 <= len(w))
+p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, range(2, 5) r(n), (SELECT unnest(range(1, 1 + (SELECT max(len(w)) FROM w))) AS i) s WHERE i + n - 1 <= len(w))
 SELECT phrase, count(*) AS hits FROM p GROUP BY phrase HAVING count(*) >= 2 ORDER BY hits DESC, phrase LIMIT 20
 """
 
@@ -256,7 +254,24 @@ QUERIES = {
     "literal_indicator_search": literal_indicator_search,
     "ngram_anchors": ngram_anchors,
 }
+STITCH_SQL = """
+WITH RECURSIVE h AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'),
+p AS (SELECT h.conv_id, h.turn AS hit, c.turn AS t, c.text FROM h JOIN conversations c ON c.conv_id = h.conv_id AND abs(c.turn - h.turn) <= 1
+  WHERE c.turn = h.turn OR NOT EXISTS (SELECT 1 FROM h x WHERE x.conv_id = c.conv_id AND x.turn = c.turn)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, hit ORDER BY t) AS i FROM p),
+m AS (
+  SELECT conv_id, hit, 1::BIGINT AS i, CAST(t AS VARCHAR) AS indices, text AS done FROM n WHERE i = 1
+  UNION ALL
+  SELECT conv_id, hit, i, indices, CASE WHEN done = '' THEN text WHEN contains(done, text) THEN done WHEN same > 0 THEN done || substr(text, same + 1) ELSE done || chr(10) || text END
+  FROM (SELECT m.conv_id, m.hit, n.i, m.indices || ',' || n.t AS indices, m.done, n.text,
+      coalesce(list_max(list_filter(range(24, least(length(m.done), length(n.text), 220) + 1), lambda s: right(m.done, s) = left(n.text, s))), 0) AS same
+    FROM m JOIN n ON n.conv_id = m.conv_id AND n.hit = m.hit AND n.i = m.i + 1)
+)
+SELECT conv_id AS doc_id, hit AS chunk_index, arg_max(indices, i) AS indices, length(arg_max(done, i)) AS n_chars FROM m GROUP BY conv_id, hit
+"""
+
 ORACLES = {
+    "neighbor_stitch": STITCH_SQL,
     "bm25_topk": f"WITH {_ctes(5)} SELECT * FROM bm_top",
     "lexical_overlap_topk": f"WITH {_ctes(5)} SELECT * FROM ov_top",
     "vector_topk": _vector_sql(""),

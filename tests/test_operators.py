@@ -73,9 +73,29 @@ def test_pack_keeps_order_and_limit(spark):
 def test_bm25_floor_and_scope(spark):
     docs = spark.createDataFrame([(1, "pasal satu"), (2, "pasal dua"), (3, "pasal tiga tiga")], "id bigint, text string")
     asked = spark.createDataFrame([(1, "pasal TIGA?")], "query_id bigint, text string")
-    got = lexical.top(lexical.bm25(docs, asked), 5).collect()
+    got = lexical.bm25(docs, asked, 5).collect()
     assert got[0].id == 3 and [r.rank for r in got] == list(range(1, len(got) + 1))
-    assert lexical.bm25(docs.where("id < 0"), asked).collect() == []
+    assert lexical.bm25(docs.where("id < 0"), asked, 5).collect() == []
+
+
+def test_shipped_and_joined_scores_are_equal(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["the"] * 6 + [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30))), i % 3) for i in range(200)] + [(900, None, 1), (901, "", 2)], "id long, text string, part int")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice([*words, "unseen"]) for _ in range(6)), q % 3) for q in range(25)] + [(99, None, 0)], "query_id long, text string, part int")
+    rows = lambda same: sorted((r.kind, r.query_id, r.rank, r.id, round(r.score, 5)) for r in lexical.best(docs, asked, 4, same).collect())
+    for same in (None, "part"):
+        monkeypatch.setattr(lexical, "MOST_SHIPPED", 1_000_000)
+        monkeypatch.setattr(lexical, "QUESTIONS", 7)
+        shipped = rows(same)
+        monkeypatch.setattr(lexical, "MOST_SHIPPED", 1)
+        assert shipped == rows(same) and len(shipped) > 100
+    assert all(k[3] % 3 == k[1] % 3 for k in shipped)
+
+
+def test_search_text_keeps_what_is_said(spark):
+    df = spark.createDataFrame([("BAB I > Pasal 1", None, " ", "text")], "a string, b string, c string, d string")
+    assert df.select(lexical.search_text(*map(F.col, "abcd")).alias("t")).first().t == "BAB I > Pasal 1 text"
 
 
 def test_vector_search_blocks(spark, monkeypatch):
