@@ -29,53 +29,80 @@ def search_text(*fields: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.array(*[f.cast("string") for f in fields]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), " ")
 
 
-def term_weights(toks: DataFrame, n: int, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, term, qf, idf)`` of the questions' terms, and one row with the mean length ``mean``.
+def split_tokens(column: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """Number of tokens of each row of space-joined tokens, and all tokens in order."""
+    lists = pc.split_pattern(column, " ")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.not_equal(column, "").to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.where(some, size, 0), flat if some.all() else flat.filter(pc.not_equal(flat, ""))
 
-    Terms are shuffled once; both results reuse that exchange.
+
+def term_counts(joined: DataFrame) -> DataFrame:
+    """``(term, df, tokens)`` of ``joined(toks)``: texts that hold a term, and its occurrences; summed in each batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, flat = split_tokens(b.column("toks"))
+            coded = flat.dictionary_encode()
+            code, n = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+            kinds = np.unique(np.repeat(np.arange(len(b)), size) * n + code) % n
+            counts = [pa.array(np.bincount(x, minlength=n)[: len(coded.dictionary)]) for x in (kinds, code)]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *counts], ["term", "df", "tokens"])
+
+    return joined.select("toks").mapInArrow(run, "term string, df long, tokens long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
+def term_statistics(joined: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """``(term, idf, kinds, tokens)`` of each of ``wanted(term)`` that a text has, and of all other terms together (term null).
+
+    One pass and one shuffle give the weights and the sums behind the vocabulary's mean and the texts' mean length.
     """
-    kinds = toks.select(F.size("toks").alias("n"), F.array_distinct("toks").alias("kinds"))
-    # its sum over a text's distinct terms is the text's length
-    terms = kinds.select((F.col("n") / F.size("kinds")).alias("share"), "kinds").select("share", F.explode("kinds").alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("share").alias("tokens"))
-    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    whole = raw.agg(F.avg("idf").alias("average"), (F.round(F.sum("tokens")) / n).alias("mean"))
-    both = raw.join(F.broadcast(asked.select("term").distinct()), "term").join(F.broadcast(whole))  # one row
-    floored = F.when(F.col("idf") < 0, FLOOR * F.col("average")).otherwise(F.col("idf"))
-    return asked.join(both.select("term", floored.alias("idf")), "term", "left"), whole
+    raw = term_counts(joined).withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    marked = raw.join(wanted.withColumn("wanted", F.lit(True)), "term", "left")
+    return marked.groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.sum("idf").alias("idf"), F.count("*").alias("kinds"), F.sum("tokens").alias("tokens"))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None, kinds: tuple[str, ...] = ("bm25", "overlap")) -> DataFrame:
     """``(kind, query_id, id, score, rank)``: k best of ``docs(id, text)`` for each of ``queries(query_id, text)``.
 
-    kind is ``bm25`` (score above 0) or ``overlap`` (distinct tokens that text and question share). A term
+    kind is one of ``kinds``: ``bm25`` (score above 0) or ``overlap`` (distinct tokens that text and question share). A term
     that a question repeats counts as often. Scores are rounded to 6 places; ties go to the smaller id.
     ``same`` names a column of both that must agree (a document scope, applied before ranking).
     """
     keep = [same] if same else []
-    toks = docs.select("id", tokens("text").alias("toks"), *keep)
+    # tokens travel to Python as one string a text: they hold no spaces, and strings cross faster than arrays
+    toks = docs.select("id", F.array_join(tokens("text"), " ").alias("toks"), *keep)
     n, asked = docs.count(), asked_terms(queries)
     if not n:
         return _ranked(docs.sparkSession.createDataFrame([], "kind string, query_id long, id long, score double"), k)
-    weights, whole = term_weights(toks, n, asked)
-    shipped = weights.join(F.broadcast(whole.select("mean"))).limit(MOST_SHIPPED + 1).toArrow()
-    if len(shipped) > MOST_SHIPPED:
-        return _joined(toks, weights, whole, queries, k, keep)
+    rows = asked.limit(MOST_SHIPPED + 1).toArrow()
+    if len(rows) > MOST_SHIPPED:
+        return _joined(toks, n, asked, queries, k, keep)
     scopes = dict(queries.select("query_id", same).collect()) if same else {}
-    terms = pc.unique(shipped["term"])
-    place = pc.index_in(shipped["term"], value_set=terms).to_numpy()
-    query, row = np.unique(shipped["query_id"].to_numpy(), return_inverse=True)
-    idf = np.nan_to_num(shipped["idf"].to_numpy().astype(float))  # a term that no text has
-    weight, mean = shipped["qf"].to_numpy() * idf, float(shipped["mean"][0].as_py() or 1.0) if len(shipped) else 1.0
-    shared = docs.sparkSession.sparkContext.broadcast((terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms, place, query, row, weight, mean or 1.0, scopes))
+    if "bm25" in kinds:
+        stats = term_statistics(toks, n, F.broadcast(asked.select("term").distinct())).toArrow()  # a row a wanted term, and one
+        average = float(np.sum(stats["idf"].to_numpy())) / max(1, int(np.sum(stats["kinds"].to_numpy())))
+        mean = float(np.sum(stats["tokens"].to_numpy())) / n or 1.0
+        stats = stats.filter(stats["term"].is_valid())
+        idf, terms = stats["idf"].to_numpy().astype(float), stats["term"].combine_chunks()
+        idf = np.where(idf < 0, FLOOR * average, idf)
+    else:  # shared tokens need no weights, so no pass over the texts for them
+        terms, mean = pc.unique(rows["term"].combine_chunks()), 1.0
+        idf = np.zeros(len(terms))
+    rows = rows.filter(pc.is_in(rows["term"], value_set=terms))
+    place = pc.index_in(rows["term"], value_set=terms).to_numpy().astype(np.int64)
+    query, row = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    weight = rows["qf"].to_numpy() * idf[place]
+    shared = docs.sparkSession.sparkContext.broadcast((terms, place, query, row, weight, mean, scopes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, place, query, row, weight, mean, scopes = shared.value
-        kept = {kind: (np.full((len(query), k), -np.inf), np.full((len(query), k), np.iinfo(np.int64).max)) for kind in ("bm25", "overlap")}
+        kept = {kind: (np.full((len(query), k), -np.inf), np.full((len(query), k), np.iinfo(np.int64).max)) for kind in kinds}
         scope = np.array([scopes.get(int(q)) for q in query], object) if scopes else None
         blocks = []
         for lo in range(0, len(query), QUESTIONS):
@@ -89,9 +116,9 @@ def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -
         for batch in batches:
             for start in range(0, len(batch), TEXTS):
                 b = batch.slice(start, TEXTS)
-                lists, ids = b.column("toks"), b.column("id").to_numpy()
-                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                found = pc.index_in(lists.flatten(), value_set=terms)
+                ids = b.column("id").to_numpy()
+                size, flat = split_tokens(b.column("toks"))
+                found = pc.index_in(flat, value_set=terms)
                 known = found.is_valid().to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(b)), size)[known]
                 key, tf = np.unique(doc * len(terms) + found.drop_null().to_numpy().astype(np.int64), return_counts=True)
@@ -105,7 +132,8 @@ def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -
                     allowed = np.ones((w.shape[1], len(b)), bool)
                     if scope is not None:
                         allowed = scope[lo : lo + w.shape[1], None] == np.array(b.column(keep[0]).to_pylist(), object)[None, :]
-                    for kind, scores in (("bm25", np.round(f @ w, 6).T), ("overlap", np.rint(g @ has).T)):
+                    for kind in kinds:
+                        scores = np.round(f @ w, 6).T if kind == "bm25" else np.rint(g @ has).T
                         scores = np.where((scores > 0) & allowed, scores, -np.inf)
                         s0, i0 = kept[kind]
                         s = np.concatenate([s0[lo : lo + len(scores)], scores], axis=1)
@@ -124,23 +152,28 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _joined(toks: DataFrame, weights: DataFrame, whole: DataFrame, queries: DataFrame, k: int, keep: list[str]) -> DataFrame:
+def _joined(toks: DataFrame, n: int, asked: DataFrame, queries: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """best() by an equi-join of weights and postings, for question sets too large to ship."""
-    postings = toks.select("id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
+    stats = term_statistics(toks, n, asked.select("term").distinct())
+    average, mean = stats.agg(F.sum("idf") / F.sum("kinds"), F.sum("tokens") / n).first()
+    idf = F.when(F.col("idf") < 0, FLOOR * (average or 0.0)).otherwise(F.col("idf"))
+    weights = asked.join(stats.where("term is not null").select("term", idf.alias("idf")), "term")
+    lists = toks.select("id", *keep, F.filter(F.split("toks", " "), lambda x: x != "").alias("toks"))
+    postings = lists.select("id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
     wanted = weights.join(queries.select("query_id", *keep), "query_id") if keep else weights
-    part = F.col("qf") * F.coalesce("idf", F.lit(0.0)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    met = wanted.join(postings, ["term", *keep]).join(F.broadcast(whole.select("mean")))  # one row
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+    met = wanted.join(postings, ["term", *keep])
     sums = met.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("bm25"), F.count("*").cast("double").alias("overlap"))
     scored = sums.select("query_id", "id", F.explode(F.create_map(F.lit("bm25"), "bm25", F.lit("overlap"), "overlap")).alias("kind", "score"))
     return _ranked(scored.where("score > 0").select("kind", "query_id", "id", "score"), k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    return best(docs, queries, k, same).where("kind = 'bm25'").drop("kind")
+    return best(docs, queries, k, same, ("bm25",)).where("kind = 'bm25'").drop("kind")
 
 
 def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return best(docs, queries, k).where("kind = 'overlap'").drop("kind")
+    return best(docs, queries, k, kinds=("overlap",)).where("kind = 'overlap'").drop("kind")
 
 
 def top(scored: DataFrame, k: int, group: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
