@@ -310,20 +310,34 @@ def indexed(shipped: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("kh").mapInArrow(run, MARKS)
 
 
-def pieces(text: bytes) -> list[int]:
-    """First windows of the pieces of a context: a window starts one when a hash of its first 8 bytes says so.
+#: Distances from a window to the next cut that share one key; further windows are always looked up.
+NEAR = np.array([8, 16, 32, 64, 128])
+FAR = len(NEAR)
 
-    The text decides, so pieces inside a passage are equal wherever the passage stands.
+
+def pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, end and next cut (from the first window; -1: none in reach) of each piece of a context.
+
+    A window starts a piece when a hash of its first 8 bytes says so. The text decides, so pieces inside
+    a passage are equal wherever the passage stands.
     """
     n = len(text) - LENGTH + 1
-    head = np.frombuffer(text, np.uint8)[: n + 7].astype(np.uint64)
-    h = np.zeros(n, np.uint64)
+    head = np.frombuffer(text, np.uint8).astype(np.uint64)
+    h = np.zeros(len(text) - 7, np.uint64)
     for k in range(8):
-        h = h * MULTIPLIERS[0] + head[k : k + n] + np.uint64(1)
+        h = h * MULTIPLIERS[0] + head[k : k + len(h)] + np.uint64(1)
     h ^= h >> np.uint64(29)
     h *= MULTIPLIERS[1]
     cut = np.flatnonzero((h >> np.uint64(60)) < 3)  # about three windows in sixteen
-    return np.unique(np.append(0, cut)).tolist()
+    first = np.unique(np.append(0, cut[cut < n]))
+    end = np.append(first[1:], n)
+    at = np.append(cut, len(text))[np.searchsorted(cut, end)]
+    return first, end, np.where(at <= end + LENGTH - 9, at - first, -1)
+
+
+def distances(ahead: int, n: int) -> np.ndarray:
+    """Place in NEAR (or FAR) of the distance from each of a piece's n windows to the next cut."""
+    return np.searchsorted(NEAR, ahead - np.arange(n)) if ahead >= 0 else np.full(n, FAR)
 
 
 def counted(shipped: DataFrame) -> DataFrame:
@@ -331,7 +345,12 @@ def counted(shipped: DataFrame) -> DataFrame:
 
     Contexts are cut into content-defined pieces. A piece that occurs twice is removed as a whole, one
     row for all its windows; only the windows of pieces that occur once, those at the ends of passages,
-    are looked up one by one among the windows of all distinct pieces.
+    are looked up among those of all distinct pieces.
+
+    Equal windows have the next cut at the same distance d, and what follows it is equal up to the
+    window's end. So a piece first gives one key for each step of NEAR that its distances fall in: the
+    LENGTH - step bytes from the cut, which all its windows up to that step hold. Windows are listed one
+    by one only where another piece has the same key, or where no cut is near: nothing is lost.
     """
     whole = shipped.where("hot").groupBy("kh", "ch").agg(F.max("ctx").alias("ctx"), (F.count("*") > 1).alias("twice"))
 
@@ -342,30 +361,46 @@ def counted(shipped: DataFrame) -> DataFrame:
                 b = whole_batch.slice(lo, 256)
                 rows = []
                 for kh, ch, ctx, twice in zip(*(b.column(c).to_pylist() for c in ("kh", "ch", "ctx", "twice")), strict=True):
-                    first = pieces(ctx)
-                    for x, y in zip(first, [*first[1:], len(ctx) - LENGTH + 1], strict=True):
+                    for x, y, ahead in zip(*(v.tolist() for v in pieces(ctx)), strict=True):
                         text = ctx[x : y + LENGTH - 1]
-                        rows.append((kh, ch, x, y, digest(text), text, twice))
+                        rows.append((kh, ch, x, ahead, digest(text), text, twice))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 7
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "ch", "a", "b", "s", "text", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "ch", "a", "ahead", "s", "text", "twice"])
+
+    parts = stored(whole.mapInArrow(cut_up, "kh long, ch long, a int, ahead int, s binary, text binary, twice boolean"))
+    kinds = stored(parts.groupBy("s").agg(F.max("text").alias("text"), F.max("ahead").alias("ahead"), ((F.count("*") > 1) | F.max("twice")).alias("again")))
 
-    parts = stored(whole.mapInArrow(cut_up, "kh long, ch long, a int, b int, s binary, text binary, twice boolean"))
-    kinds = stored(parts.groupBy("s").agg(F.max("text").alias("text"), ((F.count("*") > 1) | F.max("twice")).alias("again")))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            rows = []
+            for s, again, ahead, text in zip(*(b.column(c).to_pylist() for c in ("s", "again", "ahead", "text")), strict=True):
+                for step in np.unique(distances(ahead, len(text) - LENGTH + 1)).tolist():
+                    key = None if step == FAR else bytes([step]) + digest(text[ahead : ahead + LENGTH - int(NEAR[step])])
+                    rows.append((s, again, step, key))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], ["s", "again", "step", "k"])
+
+    keys = stored(kinds.mapInArrow(keyed, "s binary, again boolean, step int, k binary"))
+    met = keys.where("k is not null").groupBy("k").agg((F.count("*") > 1).alias("c"), F.bool_and("again").alias("whole")).where("c and not whole").select("k")
+    near = split_join(keys.where("k is not null"), met, ["k"]).select("s", "step")
+    steps = near.unionByName(keys.where("k is null").select("s", "step")).groupBy("s").agg(F.collect_set("step").alias("steps"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for whole_batch in batches:
             for lo in range(0, len(whole_batch), 128):
                 b = whole_batch.slice(lo, 128)
-                texts = b.column("text").to_pylist()
-                sizes = [len(t) - LENGTH + 1 for t in texts]
-                rep = pa.array(np.repeat(np.arange(len(b)), sizes))
-                place = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
-                w = pa.array([digest(t[i : i + LENGTH]) for t, n in zip(texts, sizes, strict=True) for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("s").take(rep), b.column("again").take(rep), place, w], ["s", "again", "place", "w"])
-
-    singles = stored(kinds.mapInArrow(windows, "s binary, again boolean, place int, w binary"))
+                texts, places = b.column("text").to_pylist(), []
+                for t, ahead, wanted in zip(texts, b.column("ahead").to_pylist(), b.column("steps").to_pylist(), strict=True):
+                    places.append(np.flatnonzero(np.isin(distances(ahead, len(t) - LENGTH + 1), wanted)).astype(np.int32))
+                rep = pa.array(np.repeat(np.arange(len(b)), [len(p) for p in places]))
+                w = pa.array([digest(t[i : i + LENGTH]) for t, p in zip(texts, places, strict=True) for i in p.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("s").take(rep), b.column("again").take(rep), pa.array(np.concatenate(places)), w], ["s", "again", "place", "w"])
+
+    looked_up = kinds.join(steps, "s").select("s", "again", "text", "ahead", "steps")
+    singles = stored(looked_up.mapInArrow(windows, "s binary, again boolean, place int, w binary"))
     shared = singles.groupBy("w").agg((F.count("*") > 1).alias("c")).where("c").select("w")
     alone = singles.where("not again").join(shared, "w").groupBy("s").agg(F.array_sort(F.collect_set("place")).alias("places"))
     all_of = F.sequence(F.lit(0), F.length("text") - LENGTH)

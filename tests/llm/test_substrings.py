@@ -42,7 +42,7 @@ def made(rng):
     return texts + [texts[20], base, base]
 
 
-@pytest.mark.parametrize("hot, text, seen", [(4096, 1 << 19, 200_000), (4096, 2000, 10), (3, 2000, 200_000)])
+@pytest.mark.parametrize("hot, text, seen", [(4096, 1 << 19, 200_000), (4096, 2000, 10), (3, 2000, 200_000), (1, 1 << 19, 200_000)])
 def test_equals_brute_force(spark, monkeypatch, hot, text, seen):
     for k, v in (("HOT", hot), ("TEXT", text), ("MOST_SEEN", seen), ("CHUNK", 700)):
         monkeypatch.setattr(S, k, v)
