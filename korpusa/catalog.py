@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import answers, chunking, operations, parsing, retrieval, rules, star, streams
+from .plans import answers, chunking, composed, operations, parsing, retrieval, rules, star, streams
 
-MODULES = (retrieval, operations, rules, answers, chunking, parsing, streams, star)
+MODULES = (retrieval, composed, operations, rules, answers, chunking, parsing, streams, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -23,14 +23,15 @@ def reciprocal_rank_fusion(lists: list[DataFrame], most: int = MOST_CANDIDATES)
     return fused.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= most)
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
+def neighbours(hits: DataFrame, chunks: DataFrame, radius: int = 1, per: tuple[str, ...] = ()) -> DataFrame:
     """Chunks within ``radius`` of a hit that are no hits themselves: ``(doc_id, hit, chunk_index, text)``.
 
-    The range becomes an equi-join: each hit lists the places it wants.
+    The range becomes an equi-join: each hit lists the places it wants. ``per`` names columns of the hits,
+    such as a question, within which they count as hits; they are returned too.
     """
     around = F.filter(F.sequence(F.lit(-radius), F.lit(radius)), lambda o: o != 0)
-    wanted = hits.select("doc_id", F.col("chunk_index").alias("hit"), F.explode(F.transform(around, lambda o: F.col("chunk_index") + o)).alias("chunk_index"))
-    wanted = wanted.join(hits.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti")
+    wanted = hits.select(*per, "doc_id", F.col("chunk_index").alias("hit"), F.explode(F.transform(around, lambda o: F.col("chunk_index") + o)).alias("chunk_index"))
+    wanted = wanted.join(hits.select(*per, "doc_id", "chunk_index"), [*per, "doc_id", "chunk_index"], "left_anti")
     return wanted.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
 
 
@@ -57,13 +58,14 @@ def merge_texts(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(""), step)
 
 
-def stitch(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
-    """Each hit with its neighbours merged in order: ``(doc_id, chunk_index, stitched_indices, text)``."""
-    near = neighbours(hits, chunks, radius).select("doc_id", "hit", "chunk_index", "text")
-    own = hits.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
-    own = own.select("doc_id", F.col("chunk_index").alias("hit"), "chunk_index", "text")
-    parts = near.unionByName(own).groupBy("doc_id", "hit").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
+def stitch(hits: DataFrame, chunks: DataFrame, radius: int = 1, per: tuple[str, ...] = ()) -> DataFrame:
+    """Each hit with its neighbours merged in order: ``(*per, doc_id, chunk_index, stitched_indices, text)``."""
+    near = neighbours(hits, chunks, radius, per).select(*per, "doc_id", "hit", "chunk_index", "text")
+    own = hits.select(*per, "doc_id", "chunk_index").join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
+    own = own.select(*per, "doc_id", F.col("chunk_index").alias("hit"), "chunk_index", "text")
+    parts = near.unionByName(own).groupBy(*per, "doc_id", "hit").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
     return parts.select(
+        *per,
         "doc_id",
         F.col("hit").alias("chunk_index"),
         F.transform("parts", lambda p: p["chunk_index"]).alias("stitched_indices"),

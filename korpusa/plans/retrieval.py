@@ -159,11 +159,12 @@ def rerank_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rerank(_scored_fixture(spark).withColumn("base", F.round(1.0 / (60 + F.col("id")), 6)), 3).select("query_id", "id", "score", "rank")
 
 
+PAIRS = f"(SELECT * FROM {QUESTIONS}) q, (SELECT * FROM {CHUNKS}) c"
 BOOST_SQL = rf"""
 WITH m AS (
   SELECT query_id, id, lower(q.text) AS q, lower(pasal) AS article, lower(bab) AS chapter, lower(hierarchy) AS path, is_table, lower(table_label) AS label,
     lower(document_title) || ' ' || lower(hierarchy) || ' ' || lower(context_header) || ' ' || lower(doc_type) || ' ' || lower(pasal) || ' ' || lower(ayat) || ' ' || lower(substr(c.text, 1, 2500)) AS blob
-  FROM (SELECT * FROM {QUESTIONS}) q, (SELECT * FROM {CHUNKS}) c
+  FROM {PAIRS}
 ), n AS (
   SELECT *, regexp_extract(q, 'nomor\s+([0-9]+)', 1) AS num, regexp_extract(q, 'tahun\s+([0-9]{{4}})', 1) AS yr, regexp_extract(q, 'pasal\s+([0-9]+)', 1) AS pas,
     regexp_extract(q, '\b(?:indikator|id)[-\s]*(?:ke[-\s]*)?([0-9]{{1,3}})\b', 1) AS ind, regexp_extract(q, '\b(?:tabel|table)\s*(?:ke[-\s]*)?([0-9]{{1,3}})\b', 1) AS tab,
@@ -191,23 +192,34 @@ FROM n
 """
 
 
-def literal_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks labelled with the table number that a question names: an equi-join on the number, at most 5 each."""
-    q = fx.frame(spark, fx.QUESTIONS, fx.QUESTION_SCHEMA).select("query_id", F.regexp_extract(F.lower("text"), TABLE_NUMBER, 1).alias("n")).where("n <> ''")
-    c = fx.frame(spark, fx.CHUNKS, fx.CHUNK_SCHEMA).select("id", F.regexp_extract(F.lower("table_label"), TABLE_NUMBER, 1).alias("n"))
-    return lexical.top(q.join(c, "n").select("query_id", "id", F.lit(2.0).alias("score")), 5)
+def table_literals(asked: DataFrame, chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks labelled with the table number that a question names: an equi-join on the number, at most 5 each.
 
+    ``keep`` names columns of both that must agree (a document scope).
+    """
+    q = asked.select("query_id", *keep, F.regexp_extract(F.lower("text"), TABLE_NUMBER, 1).alias("n")).where("n <> ''")
+    c = chunks.select("id", *keep, F.regexp_extract(F.lower("table_label"), TABLE_NUMBER, 1).alias("n")).where("n <> ''")
+    return lexical.top(q.join(c, ["n", *keep]).select("query_id", "id", F.lit(2.0).alias("score")), 5)
 
-def literal_indicator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def indicator_literals(asked: DataFrame, chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks whose path, else header, names the indicator that a question asks for; each once, at most 5 a question, score 2.5."""
-    q = fx.frame(spark, fx.QUESTIONS, fx.QUESTION_SCHEMA).select("query_id", F.regexp_extract(F.lower("text"), INDICATOR_NUMBER, 1).alias("n")).where("n <> ''")
+    q = asked.select("query_id", *keep, F.regexp_extract(F.lower("text"), INDICATOR_NUMBER, 1).alias("n")).where("n <> ''")
     places = F.array(*[F.struct(F.lit(i).alias("probe"), F.regexp_extract_all(F.lower(c), F.lit(r"indikator\s+([0-9]{1,3})\b"), F.lit(1)).alias("ns")) for i, c in enumerate(("hierarchy", "context_header"))])
-    c = fx.frame(spark, fx.CHUNKS, fx.CHUNK_SCHEMA).select("id", F.explode(places).alias("p")).select("id", "p.probe", F.explode("p.ns").alias("n"))
-    first = q.join(c, "n").groupBy("query_id", "id").agg(F.min("probe").alias("probe"))
+    c = chunks.select("id", *keep, F.explode(places).alias("p")).select("id", *keep, "p.probe", F.explode("p.ns").alias("n"))
+    first = q.join(c, ["n", *keep]).groupBy("query_id", "id").agg(F.min("probe").alias("probe"))
     ranked = lexical.top(first.withColumn("score", -F.col("probe").cast("double")), 5)
     return ranked.select("query_id", "id", F.lit(2.5).alias("score"), "rank")
 
 
+def literal_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_literals(fx.frame(spark, fx.QUESTIONS, fx.QUESTION_SCHEMA), fx.frame(spark, fx.CHUNKS, fx.CHUNK_SCHEMA))
+
+
+def literal_indicator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicator_literals(fx.frame(spark, fx.QUESTIONS, fx.QUESTION_SCHEMA), fx.frame(spark, fx.CHUNKS, fx.CHUNK_SCHEMA))
+
+
 LITERAL_TABLE_SQL = rf"""
 WITH q AS (SELECT query_id, regexp_extract(lower(text), '\b(?:tabel|table)\s*(?:ke[-\s]*)?([0-9]{{1,3}})\b', 1) AS n FROM {QUESTIONS}),
 c AS (SELECT id, regexp_extract(lower(table_label), '\b(?:tabel|table)\s*(?:ke[-\s]*)?([0-9]{{1,3}})\b', 1) AS n FROM {CHUNKS})
