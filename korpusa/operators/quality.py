@@ -40,7 +40,7 @@ def quality(df: DataFrame, question: str, context: str, answer: str, sources: st
     """Adds focus_coverage, citation_count, list_ok, has_unavailable, conflicting, score and retry_reasons."""
     text = F.trim(F.coalesce(F.col(answer), F.lit("")))
     low, around = F.lower(text), F.lower(F.coalesce(F.col(context), F.lit("")))
-    word = lambda where, t: F.regexp_like(where, F.concat(F.lit(r"\b"), t, F.lit(r"\b")))
+    word = lambda where, t: F.regexp_like(where, F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])"), t, F.lit(r"(?:[^\p{L}\p{N}_]|$)")))
     df = df.withColumn("focus", F.filter(focus_terms(question), lambda t: word(around, t)))
     hit = F.size(F.filter("focus", lambda t: word(low, t)))
     df = df.withColumn("coverage__", F.when(F.size("focus") > 0, hit / F.size("focus")).otherwise(1.0))

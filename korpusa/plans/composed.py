@@ -8,12 +8,15 @@ row d of ``embeddings``, that of variant v of question q row |q| + v.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import display_score, snippet
 from ..functions.text import classify_query, expand_query
 from ..operators import fusion, lexical, vectors
+from ..sources.formats import written
 from ..sources.tables import load
 from . import fixtures as fx
 from . import retrieval as R
@@ -78,14 +81,16 @@ def ranked_lists(chunks: DataFrame, asked: DataFrame, chunk_vectors: DataFrame,
 def answer_sources(chunks: DataFrame, asked: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     """Fused candidates, at most 25 a question, stitched with their neighbours, boosted by metadata, k best of each.
 
-    What meets the chunks is a few places a candidate, so the chunks themselves are not shuffled.
+    What meets the chunks is a few places a candidate, so the chunks themselves are not shuffled. Candidates and
+    the chunks around them, a bounded number a question, are written once: every later step reads them.
     """
     most = asked.count() * fusion.MOST_CANDIDATES
     small = F.broadcast if 3 * most <= MOST_SHIPPED else (lambda df: df)
     fused = fusion.reciprocal_rank_fusion(list(lists.values()))
     hits = fused.selectExpr("query_id", "id", "score AS base", f"(id - pmod(id, {PLACES}L)) div {PLACES} AS doc_id", f"cast(pmod(id, {PLACES}L) AS int) AS chunk_index")
+    hits = written(hits, "candidates")
     spots = hits.select("doc_id", F.explode(F.expr("sequence(chunk_index - 1, chunk_index + 1)")).alias("chunk_index")).distinct()
-    nearby = chunks.join(small(spots), ["doc_id", "chunk_index"], "left_semi")
+    nearby = written(chunks.join(small(spots), ["doc_id", "chunk_index"], "left_semi"), "nearby")
     whole = fusion.stitch(hits, nearby, per=("query_id",)).withColumn("id", F.col("doc_id") * PLACES + F.col("chunk_index"))
     rows = whole.join(hits.select("query_id", "id", "base"), ["query_id", "id"]).join(nearby.select("id", *FIELDS), "id")
     rows = rows.join(asked.select("query_id", F.col("text").alias("question"), "kind", "k"), "query_id")
@@ -113,12 +118,10 @@ def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each stage found for every question: number of candidates and the first of them."""
     chunks, asked, of_chunks, of_asked = _inputs(spark, sf_dir)
-    lists = ranked_lists(chunks, asked, of_chunks, of_asked)
+    lists = {name: written(x, name) for name, x in ranked_lists(chunks, asked, of_chunks, of_asked).items()}
     stages = [x.select("query_id", "id", "rank", F.lit(name).alias("stage")) for name, x in lists.items()]
     stages.append(fusion.reciprocal_rank_fusion(list(lists.values())).select("query_id", "id", "rank", F.lit("fused").alias("stage")))
-    every = stages[0]
-    for s in stages[1:]:
-        every = every.unionByName(s)
+    every = reduce(DataFrame.unionByName, stages)
     return every.groupBy("query_id", "stage").agg(F.count("*").alias("n"), F.min_by("id", "rank").alias("first_id"))
 
 

@@ -72,9 +72,21 @@ def rebuild_if_stale(source: DataFrame, spark: SparkSession, path: str, force: b
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``, else a temporary one)."""
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Only a local master, where all is one machine, gets a temporary folder when the setting is missing.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="korpusa-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what several later steps read is worked out once."""
+    where = shared_path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
