@@ -59,15 +59,28 @@ def article_chunks(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.select(key, (F.row_number().over(order) - 1).cast("bigint").alias("chunk_index"), path.alias("hierarchy"), F.col("ayat").isNull().alias("is_parent"), "text")
 
 
-def pack(pieces: Column, most: int) -> Column:
-    """Greedy packing of texts into chunks of at most ``most`` characters, a longer text alone."""
+def packed(docs: DataFrame, most: int) -> DataFrame:
+    """``(doc_id, chunk_index, text)``: non-blank lines packed greedily into chunks of at most ``most`` characters, a longer line alone.
 
-    def step(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = F.length(last) + 1 + F.length(piece) <= most
-        return F.when(F.size(done) == 0, F.array(piece)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit("\n"), piece)))).otherwise(F.concat(done, F.array(piece)))
+    One pass over each text, in time linear in it.
+    """
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.doc_id, b.text, strict=True):
+                held, size, at = [], 0, 0
+                for line in (x for x in (text or "").split("\n") if x.strip(" ")):
+                    if held and size + 1 + len(line) > most:
+                        rows.append((doc, at, "\n".join(held)))
+                        held, size, at = [], 0, at + 1
+                    size += len(line) + (1 if held else 0)
+                    held.append(line)
+                if held:
+                    rows.append((doc, at, "\n".join(held)))
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string")
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

@@ -185,6 +185,11 @@ SELECT conv_id, turn, array_to_string(list_transform(range(1, len(kept) + 1), la
 """
 ORACLES = {
     "answer_quality": f"SELECT id, score, focus_coverage, citation_count, list_ok, has_unavailable, conflicting, retry_reasons FROM {_RATED}",
+    "answer_validation": rf"""
+WITH a AS (SELECT id, sources, CAST(regexp_extract_all(answer, '\[([0-9]+)\]', 1) AS BIGINT[]) AS ids,
+  {_LESS.format(a="regexp_extract_all(lower(answer), 'pasal\\s+([0-9]+)', 1)", b="regexp_extract_all(lower(context || ' ' || question), 'pasal\\s+([0-9]+)', 1)")} AS unknown FROM {_FIXED}),
+b AS (SELECT *, list_filter(ids, lambda x, i: list_position(ids, x) = i AND (x < 1 OR x > sources)) AS bad FROM a)
+SELECT id, array_to_string(bad, ',') AS invalid_citations, array_to_string(unknown, ',') AS unknown_articles, CASE WHEN len(ids) = 0 OR len(unknown) > 0 THEN 'low' WHEN len(bad) > 0 THEN 'medium' ELSE 'high' END AS confidence FROM b""",
     "conversation_quality": f"SELECT conv_id, turn, score, focus_coverage, citation_count, retry_reasons FROM {_TOLD}",
     "top_failure_reasons": f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(retry_reasons, ',')) AS reason FROM {_TOLD}) WHERE reason <> '' GROUP BY 1 ORDER BY n DESC, reason LIMIT 5",
     "audit_verdicts": f"SELECT count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE NOT ok AND focus_coverage < 0.45) AS uncovered FROM (SELECT *, score >= 5 AND citation_count > 0 AS ok FROM {_TOLD})",

@@ -63,11 +63,14 @@ def test_splitter_invariants(size, overlap):
         assert covered == squeezed
 
 
-def test_pack_keeps_order_and_limit(spark):
+def test_packed_lines_keep_order_and_limit(spark):
     rng = random.Random(2)
-    pieces = ["x" * rng.randrange(1, 60) for _ in range(80)]
-    got = spark.createDataFrame([(pieces,)], "p array<string>").select(structure.pack(F.col("p"), 100).alias("c")).first().c
-    assert "\n".join(got) == "\n".join(pieces) and all(len(c) <= 100 for c in got)
+    pieces = ["x" * rng.randrange(1, 60) for _ in range(80)] + ["y" * 300, "z"]
+    docs = [(1, "\n".join(pieces)), (2, ""), (3, None), (4, " \n\n ")]
+    got = structure.packed(spark.createDataFrame(docs, "doc_id long, text string"), 100).orderBy("doc_id", "chunk_index").collect()
+    assert {r.doc_id for r in got} == {1} and [r.chunk_index for r in got] == list(range(len(got)))
+    assert "\n".join(r.text for r in got) == "\n".join(pieces) and all(len(r.text) <= 100 or r.text == "y" * 300 for r in got)
+    assert all(len(a.text) + 1 + len(b.text.split("\n")[0]) > 100 for a, b in zip(got, got[1:], strict=False))
 
 
 def test_bm25_floor_and_scope(spark):
