@@ -98,7 +98,7 @@ def _text(x: str) -> str:
 
 
 NODES = rf"""
-l AS (SELECT doc_id, n, trim(line) AS line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM (VALUES {', '.join(f'({i}, {_text(t)})' for i, t in REGULATIONS)}) r(doc_id, text))) WHERE trim(line) <> ''),
+l AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n AS INT) AS n, trim(line) AS line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM (VALUES {', '.join(f'({i}, {_text(t)})' for i, t in REGULATIONS)}) r(doc_id, text))) WHERE trim(line) <> ''),
 h AS (SELECT *, nullif(regexp_extract(line, '^BAB\s+([IVXLC]+)\b', 1), '') AS hb, nullif(regexp_extract(line, '^Pasal\s+([0-9]+)$', 1), '') AS hp, nullif(regexp_extract(line, '^\(([0-9]+)\)', 1), '') AS ha FROM l),
 b AS (SELECT *, last_value(hb IGNORE NULLS) OVER w AS bab, count(hb) OVER w AS cb, lag(hb) OVER w IS NOT NULL AS after_bab FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 p AS (SELECT *, last_value(hp IGNORE NULLS) OVER w AS pasal, count(hp) OVER w AS cp FROM b WINDOW w AS (PARTITION BY doc_id, cb ORDER BY n)),
@@ -119,8 +119,8 @@ SELECT doc_id, chunk_index, CAST(max(size) AS INT) AS size FROM r GROUP BY 1, 2"
     "regulation_nodes": f"WITH {NODES} SELECT * FROM nodes",
     "regulation_chunks": f"WITH {NODES} SELECT * FROM chunks",
     "parent_texts": f"WITH {NODES} SELECT doc_id, pasal, ayat, CASE WHEN row_number() OVER (PARTITION BY doc_id, pasal ORDER BY n) = 1 THEN (SELECT string_agg(z.text, ' ' ORDER BY z.n) FROM body z WHERE z.doc_id = body.doc_id AND z.pasal = body.pasal) END AS parent FROM body WHERE ayat IS NOT NULL",
-    "alignment_report": rf"WITH {NODES}, k AS (SELECT count(DISTINCT regexp_extract(hierarchy, 'Pasal ([0-9]+)', 1)) AS kept FROM chunks WHERE doc_id = 1), g AS (SELECT count(*) AS have FROM l WHERE doc_id = 1 AND regexp_matches(line, '^Pasal\s+[0-9]+$')) SELECT 1 AS doc_id, have, kept, CASE WHEN kept >= have THEN 'ok' WHEN kept > 0 THEN 'partial' ELSE 'missing' END AS status FROM k, g",
-    "score_rows": rf"WITH r AS (SELECT regexp_extract(line, 'Nama:\s*([^;]*)', 1) AS name, regexp_extract(line, 'Indeks:\s*([^;]*)', 1) AS score, regexp_extract(line, 'Predikat:\s*([^;]*)', 1) AS grade FROM (SELECT trim(unnest(string_split({_text(SCORES)}, chr(10)))) AS line)) SELECT 1 AS doc_id, name, CASE WHEN regexp_matches(name, '^(Kabupaten|Kota|Kementerian)') THEN regexp_extract(name, '^(Kabupaten|Kota|Kementerian)', 1) ELSE 'Lainnya' END AS kind, TRY_CAST(replace(score, ',', '.') AS DOUBLE) AS score, trim(grade) AS grade FROM r",
+    "alignment_report": rf"WITH {NODES}, k AS (SELECT count(DISTINCT regexp_extract(hierarchy, 'Pasal ([0-9]+)', 1)) AS kept FROM chunks WHERE doc_id = 1), g AS (SELECT count(*) AS have FROM l WHERE doc_id = 1 AND regexp_matches(line, '^Pasal\s+[0-9]+$')) SELECT CAST(1 AS BIGINT) AS doc_id, have, kept, CASE WHEN kept >= have THEN 'ok' WHEN kept > 0 THEN 'partial' ELSE 'missing' END AS status FROM k, g",
+    "score_rows": rf"WITH r AS (SELECT regexp_extract(line, 'Nama:\s*([^;]*)', 1) AS name, regexp_extract(line, 'Indeks:\s*([^;]*)', 1) AS score, regexp_extract(line, 'Predikat:\s*([^;]*)', 1) AS grade FROM (SELECT trim(unnest(string_split({_text(SCORES)}, chr(10)))) AS line)) SELECT CAST(1 AS BIGINT) AS doc_id, name, CASE WHEN regexp_matches(name, '^(Kabupaten|Kota|Kementerian)') THEN regexp_extract(name, '^(Kabupaten|Kota|Kementerian)', 1) ELSE 'Lainnya' END AS kind, TRY_CAST(replace(score, ',', '.') AS DOUBLE) AS score, trim(grade) AS grade FROM r",
     "document_lines": f"WITH {LINES} SELECT doc_id, n, length(line) AS size FROM lines",
     "line_sections": f"WITH {LINES}, s AS (SELECT *, length(line) < 30 AS h, CAST(sum(CASE WHEN length(line) < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS section FROM lines) SELECT doc_id, section, max(CASE WHEN h THEN line END) AS title, count(*) FILTER (WHERE NOT h) AS n_lines, CAST(sum(CASE WHEN h THEN 0 ELSE length(line) END) AS BIGINT) AS n_chars FROM s GROUP BY 1, 2",
 }
