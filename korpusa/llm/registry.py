@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, extract, knn, langid, pii, simhash, substrings, urls, wavelet
+from . import bpe, decontaminate, exact, extract, knn, langid, pii, simhash, substrings, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op6_decontaminate": decontaminate.query,
     "op7_byte_bpe": bpe.query,
     "op10_wavelet": wavelet.query,
+    "op11_exact_dedup": exact.query,
 }
-ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE, "op3_substring_dedup": substrings.ORACLE}
+ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op11_exact_dedup": exact.ORACLE}
