@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, extract, knn, langid, periodic, pii, simhash, substrings, urls, wavelet
+from . import bpe, decontaminate, exact, extract, importance, knn, langid, periodic, pii, simhash, substrings, urls, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -17,5 +17,11 @@ QUERIES = {
     "op10_wavelet": wavelet.query,
     "op11_exact_dedup": exact.query,
     "op12_periodic_runs": periodic.query,
+    "op13_importance_resampling": importance.query,
+}
+ORACLES: dict[str, str] = {
+    "op2_voronoi_knn": knn.ORACLE,
+    "op3_substring_dedup": substrings.ORACLE,
+    "op11_exact_dedup": exact.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }
-ORACLES: dict[str, str] = {"op2_voronoi_knn": knn.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op11_exact_dedup": exact.ORACLE}

@@ -9,10 +9,10 @@ from korpusa.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     rel = con.execute(registry.ORACLES[name])
     names = [d[0] for d in rel.description]
-    want = sorted(rel.fetchall())
+    want = sorted(rel.fetchall(), key=str)
     df = registry.QUERIES[name](spark, sf)
-    assert len(want) > 0 and sorted(map(tuple, df.select(*names).collect())) == want
+    assert len(want) > 0 and sorted(map(tuple, df.select(*names).collect()), key=str) == want
