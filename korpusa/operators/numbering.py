@@ -13,17 +13,30 @@ from ..sources.formats import written
 PLACE_BITS = 33
 
 
+def laid_out(rows: DataFrame, order: list[Column], at: str = "at__") -> DataFrame:
+    """``rows`` by ranges of ``order``, sorted in each partition, with ``at``: partition and place in it. Write it before it is read twice."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+
+
+def placed(laid: DataFrame, name: str, at: str = "at__") -> DataFrame:
+    """``name``, the number 1, 2, ... of each row of a written ``laid_out()`` table, in place of ``at``.
+
+    The driver sees one count a partition.
+    """
+    part = F.shiftright(at, PLACE_BITS)
+    counts = sorted(map(tuple, laid.groupBy(part.alias("part__")).count().collect()))
+    before = accumulate((n for _, n in counts), initial=0)
+    offsets = laid.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part__ long, before__ long")
+    number = F.col("before__") + F.col(at).bitwiseAND((1 << PLACE_BITS) - 1) + 1
+    rest = [c for c in laid.columns if c != at]
+    return laid.withColumn("part__", part).join(F.broadcast(offsets), "part__").select(*rest, number.alias(name))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``rows`` with ``name``, their number 1, 2, ... in ``order``, which should be total.
 
     Rows are dealt out by ranges of the order and sorted where they are; a row's number is its place in its
-    partition plus the rows of the partitions before it. The driver sees one count a partition. Rows alike in
-    all of ``order`` are numbered in some order; no rows give no rows.
+    partition plus the rows of the partitions before it. Rows alike in all of ``order`` are numbered in some
+    order; no rows give no rows.
     """
-    at, part = F.col("at__"), F.shiftright("at__", PLACE_BITS)
-    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()), "numbered")
-    counts = sorted(map(tuple, dealt.groupBy(part.alias("part__")).count().collect()))  # a row a partition
-    before = accumulate((n for _, n in counts), initial=0)
-    offsets = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part__ long, before__ long")
-    number = F.col("before__") + at.bitwiseAND((1 << PLACE_BITS) - 1) + 1
-    return dealt.withColumn("part__", part).join(F.broadcast(offsets), "part__").select(*rows.columns, number.alias(name))
+    return placed(written(laid_out(rows, order), "numbered"), name)
