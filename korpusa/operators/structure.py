@@ -145,7 +145,7 @@ def choose_by_count(first: DataFrame, second: DataFrame, least: int = 20, key: s
 
 def linearize_table(block: Column) -> Column:
     """Pipe-table lines as ``header: value; ...`` lines; separator rows and ``-`` cells are skipped, extra cells get ``Kolom{i}``."""
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = F.filter(F.transform(F.split(block, "\n"), cells), lambda r: ~F.array_join(r, "").rlike(r"^[-: ]*$"))
     head, body = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
     pair = lambda v, i: F.concat(F.coalesce(F.get(head, i), F.concat(F.lit("Kolom"), (i + 1).cast("string"))), F.lit(": "), v)
