@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import answers, chunking, composed, indexed, operations, parsing, regulations, retrieval, rules, star, streams
+from .plans import answers, chunking, composed, indexed, operations, parsing, regulations, retrieval, rules, star, stores, streams
 
-MODULES = (retrieval, composed, indexed, operations, rules, answers, chunking, regulations, parsing, streams, star)
+MODULES = (retrieval, composed, indexed, operations, rules, answers, chunking, regulations, parsing, streams, stores, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
