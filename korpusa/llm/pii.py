@@ -7,7 +7,7 @@ their score reaches ``KEEP`` and they touch no base span.
 
 Places come from the text itself: splitting at a pattern and extracting its matches give alternating
 pieces, and running sums of their lengths (in blocks, so that the work stays near linear even for a
-text full of matches) are code-point offsets. Patterns use possessive groups and look-behinds: same
+text full of matches) are code-point offsets. The words near a match come from the pieces beside it. Patterns use possessive groups and look-behinds: same
 leftmost matches, but linear on long runs and without recursion.
 
 Defined results: null text counts as empty (no spans); very long texts are searched whole; of overlapping
@@ -52,6 +52,8 @@ SCORES = {
 AGAINST = "version|example|sample|order|invoice|isbn|serial"
 WORD_BONUS, WORD_MALUS, KEEP, NEAR = 0.2, 0.2, 0.5, 40
 RUN = 256
+#: Matches beside a match that hold NEAR characters at least: each has two and more.
+PIECES = NEAR // 2
 
 
 def confirmed(kind: str, x: Column) -> Column:
@@ -107,15 +109,26 @@ def found(df: DataFrame, text: str, kind: str) -> DataFrame:
     def placed(y: Column) -> Column:
         run = F.floor(y["i"] / RUN).cast("int")
         start = F.get(r, run) + total(F.slice(s, run * RUN + 1, y["i"] % RUN)) + F.length(F.get(p, y["i"]))
-        return F.struct(start.cast("long").alias("start"), (start + F.length(y["x"])).cast("long").alias("end"))
+        return F.struct(start.cast("long").alias("start"), (start + F.length(y["x"])).cast("long").alias("end"), y["i"].alias("i"))
 
     base, words = SCORES[kind]
 
+    # what stands beside a match, from the pieces beside it: no walk through the text for each match
+    tails, heads = F.col(f"e_{kind}"), F.col(f"b_{kind}")
+    glued = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, y)), "")
+
+    def before(i: Column) -> Column:
+        own, first = F.get(tails["p"], i), F.greatest(i - PIECES, F.lit(0))
+        more = glued(F.slice(tails["p"], first + 1, i - first), F.slice(tails["m"], first + 1, i - first))
+        return F.when(F.length(own) >= NEAR, own).otherwise(F.right(F.concat(more, own), F.lit(NEAR)))
+
+    def after(i: Column) -> Column:
+        own, n = F.get(heads["p"], i + 1), F.least(F.lit(PIECES), F.size(m) - i - 1)
+        more = glued(F.slice(heads["m"], i + 2, n), F.slice(heads["p"], i + 3, n))
+        return F.when(F.length(own) >= NEAR, own).otherwise(F.left(F.concat(own, more), F.lit(NEAR)))
+
     def scored(y: Column) -> Column:
-        low = F.greatest(y["start"] - NEAR, F.lit(0))
-        near = F.concat(
-            F.substring(F.col(text), low.cast("int") + 1, (y["start"] - low).cast("int")), F.lit(" | "), F.substring(F.col(text), y["end"].cast("int") + 1, F.lit(NEAR))
-        )
+        near = F.concat(before(y["i"]), F.lit(" | "), after(y["i"]))
         score = (
             F.lit(base)
             + F.when(near.rlike(rf"(?i)\b(?:{words})"), WORD_BONUS).otherwise(0.0)
@@ -123,8 +136,10 @@ def found(df: DataFrame, text: str, kind: str) -> DataFrame:
         )
         return F.struct(y["start"].alias("start"), y["end"].alias("end"), F.round(score, 2).alias("score"))
 
-    df = df.withColumn(f"at_{kind}", F.transform(numbered, placed)).drop(f"m_{kind}", f"p_{kind}", f"s_{kind}", f"r_{kind}")
-    return df.withColumn(f"found_{kind}", F.transform(F.col(f"at_{kind}"), scored)).drop(f"at_{kind}")
+    cut = lambda way: F.struct(F.transform(p, lambda x: way(x, F.lit(NEAR))).alias("p"), F.transform(m, lambda x: way(x, F.lit(NEAR))).alias("m"))
+    df = df.withColumns({f"at_{kind}": F.transform(numbered, placed), f"e_{kind}": cut(F.right), f"b_{kind}": cut(F.left)})
+    df = df.withColumn(f"found_{kind}", F.transform(F.col(f"at_{kind}"), scored))
+    return df.drop(*[f"{x}_{kind}" for x in "mpsreb"], f"at_{kind}")
 
 
 def with_spans(df: DataFrame, text: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_words_nearby_move_the_scores(spark, tmp_path):
     rows = [(1, "write an e-mail to a@b.cc"), (2, "sample a@b.cc"), (3, "x a@b.cc y")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.scores for r in pii.query(spark, str(tmp_path)).collect()} == {1: "0.9", 2: "0.5", 3: "0.7"}
+
+
+def test_long_text_full_of_matches(spark):
+    """A megabyte of addresses: places of all, scores by the words beside each, in time linear in the text."""
+    unit, n = "mail a@b.cc order call 0 xx ", 36_000
+    row = pii.find(spark.createDataFrame([(1, unit * n)], "doc_id long, text string")).select("found_email").first()[0]
+    assert [s.start for s in row] == [len(unit) * i + 5 for i in range(n)]
+    assert {s.score for s in row} == {0.7}  # a word for and a word against each
