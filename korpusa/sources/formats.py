@@ -43,6 +43,21 @@ def sse_text(rows: DataFrame, event: str, data: str) -> DataFrame:
     return rows.select(F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n")).alias("value"))
 
 
+def sse_stream(spark: SparkSession, folder: str, fields: str, files: int = 8) -> DataFrame:
+    """A stream of ``(event, data, broken)`` from logs of server-sent events, new files as they come, ``files`` a batch.
+
+    The reader's record separator is the blank line, so a frame that lies across two splits of a file is one record of the first.
+    Several ``data:`` lines are joined by line feeds, comments and other fields are skipped, an event without a name is "message", frames
+    without data are none. ``data`` is JSON of ``fields``; where it can't be parsed it is null and ``broken`` holds it.
+    """
+    raw = spark.readStream.format("text").option("lineSep", "\n\n").option("maxFilesPerTrigger", files).load(folder)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains(":") & ~x.startswith(":"))
+    of = lambda name: F.transform(F.filter("l", lambda x: F.substring_index(x, ":", 1) == name), lambda x: F.regexp_replace(x, rf"^{name}: ?", ""))
+    told = raw.select(lines.alias("l")).select(F.coalesce(F.try_element_at(of("event"), F.lit(-1)), F.lit("message")).alias("event"), F.array_join(of("data"), "\n").alias("text"), F.size(of("data")).alias("n"))
+    read = told.where("n > 0").withColumn("data", F.from_json("text", f"{fields}, broken_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"}))
+    return read.select("event", F.when(F.col("data.broken_").isNull(), F.col("data").dropFields("broken_")).alias("data"), F.col("data.broken_").alias("broken"))
+
+
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
     """JSON lines or Markdown bullets of a result."""
     if kind == "json":
