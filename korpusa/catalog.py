@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import answers, audits, chunking, composed, indexed, operations, parsing, regulations, retrieval, rules, star, stores, streams, vector_indexes
+from .plans import answers, audits, chunking, composed, indexed, operations, paragraphs, parsing, regulations, retrieval, rules, star, stores, streams, vector_indexes
 
-MODULES = (retrieval, composed, indexed, operations, rules, answers, audits, chunking, regulations, parsing, streams, stores, vector_indexes, star)
+MODULES = (retrieval, composed, indexed, operations, rules, answers, audits, chunking, regulations, paragraphs, parsing, streams, stores, vector_indexes, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
