@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the same tables; the others must run."""
+"""Every query and inline rule with SQL against DuckDB on the same tables; the others must run."""
 
 import os
 import sys
@@ -32,14 +32,14 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | catalog.RULES))
 def test_query(spark, sf, duck, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = (catalog.QUERIES | catalog.RULES)[name](spark, sf)
     got = df.collect()
-    if name not in catalog.ORACLES:
+    if name not in catalog.SQL:
         assert len(got) > 0
         return
-    rel = duck.execute(catalog.ORACLES[name])
+    rel = duck.execute(catalog.SQL[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     want = rel.fetchall()
