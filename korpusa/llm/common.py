@@ -130,26 +130,27 @@ def packed_rows(column: pa.BinaryArray, kind: str) -> list[np.ndarray]:
 HEAVY, HEAVY_SHARE = 50_000, 10_000
 
 
-def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+def heavy_keys(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than max(HEAVY, rows / HEAVY_SHARE) rows: fewer than HEAVY_SHARE, whatever the table.
 
-    One count with map-side sums; of a key's rows none is gathered.
+    One count with map-side sums; of a key's rows none is gathered. ``counts``: the rows of each key
+    as ``(*keys, c__)`` where an earlier step has counted them.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("c__"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("c__")) if counts is None else counts
     heavy = counts.where(F.col("c__") > HEAVY)
     total = F.broadcast(counts.agg((F.sum("c__") / HEAVY_SHARE).alias("share__")))  # one row
     return heavy.join(total, F.col("c__") > F.col("share__")).select(*keys)
 
 
-def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``unique`` (one row a key) where a key may hold a third of all rows.
 
     The heavy keys, fewer than HEAVY_SHARE by their definition, meet their partner by broadcast, where
     the rows are; all other keys are shuffled and none has more than its small share of the rows.
-    ``total``: the number of rows where it is known, which saves the count of few.
+    ``total``: the number of rows where it is known, which saves the count of few; ``counts`` as in heavy_keys.
     """
     few = total is not None and total <= HEAVY
-    heavy = [] if few else [tuple(r) for r in heavy_keys(rows, keys).collect()]  # fewer than HEAVY_SHARE rows
+    heavy = [] if few else [tuple(r) for r in heavy_keys(rows, keys, counts).collect()]  # fewer than HEAVY_SHARE rows
     if not heavy:
         return rows.join(unique, keys)
     spark = rows.sparkSession
@@ -158,21 +159,44 @@ def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], total: int |
     return hot.unionByName(rows.join(named, keys, "left_anti").join(unique, keys))
 
 
+#: Shares that the rows of a heavy key are dealt over.
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], apart: list[str]) -> DataFrame:
+    """Inner join where a key may hold a third of ``rows`` and any number of rows of ``other``.
+
+    The rows of a heavy key are dealt over SALTS shares by a hash of the columns ``apart``, the same
+    in every attempt of a task, and each share meets a copy of the key's rows of ``other``. Only the
+    keys' names are broadcast, fewer than HEAVY_SHARE; ``rows`` is read twice and should be stored.
+    """
+    heavy = [tuple(r) for r in heavy_keys(rows, keys).collect()]  # fewer than HEAVY_SHARE rows
+    if not heavy:
+        return rows.join(other, keys)
+    named = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("hot__", F.lit(True)))
+    share = F.when(F.col("hot__"), F.pmod(F.xxhash64(*apart), F.lit(SALTS))).otherwise(0).cast("int")
+    shares = F.when(F.col("hot__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(named, keys, "left").withColumn("share__", share).drop("hot__")
+    right = other.join(named, keys, "left").withColumn("share__", F.explode(shares)).drop("hot__")
+    return left.join(right, [*keys, "share__"]).drop("share__")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each round replaces a node's links by links to
     the smallest node it sees, as joins and partial minima, so no adjacency list is ever gathered
-    in one place; a hub's rows meet its minimum by split_join. Links and labels stay distributed;
+    in one place; in both steps a hub's rows meet its minimum by split_join. Links and labels stay distributed;
     the driver sees one count and one checksum a round. A round's table replaces that before it.
     """
     e, last = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
-    before, rounds = None, 0
+    before, rounds, step = None, 0, None
     while True:
         e = stored(e)
-        if last is not None:
-            discard(last)
-        last = e
+        for t in (last, step):
+            if t is not None:
+                discard(t)
+        last, step = e, None
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before or now[0] == 0:
             break
@@ -182,8 +206,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = split_join(both, low, ["u"], 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if 2 * now[0] > HEAVY:  # what split_join counts before it joins is worked out once
+            large = step = stored(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = split_join(large, low, ["u"], 2 * now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

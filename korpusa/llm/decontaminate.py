@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, sliced, table
+from .common import free_name, salted_join, sliced, stored, table
 
 WINDOW, MIN_COVER, MOST_SHIPPED, LEAST_WORDS = 8, 0.5, 2_000_000, 4
 LITERAL, NUMBER, CAPITAL, UNIT, SIGN, STOP = range(6)
@@ -178,11 +178,11 @@ def row_key() -> F.Column:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(key, doc_id, item_id, n_windows, n_matched, cover, kind)`` of every item found in a document text."""
     spark = docs.sparkSession
-    items = benchmark_windows(benchmark)
+    items = stored(benchmark_windows(benchmark))
     sizes = sorted(benchmark_sizes(benchmark))
     shipped = None
     if items.count() <= MOST_SHIPPED:
-        hashes = np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)
+        hashes = items.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)
         shipped = spark.sparkContext.broadcast(np.sort(hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +215,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             )
 
     texts = docs.where("text is not null").select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(run, "key long, doc_id long, place int, h long, values array<string>")
-    met = found.join(items, "h").where(F.size("slots") == F.size("values")).withColumn("line", F.col("place") - F.col("at"))
+    found = stored(texts.mapInArrow(run, "key long, doc_id long, place int, h long, values array<string>"))
+    met = salted_join(found, items, ["h"], ["key", "place"]).where(F.size("slots") == F.size("values")).withColumn("line", F.col("place") - F.col("at"))
     pairs = met.select(
         "key", "doc_id", "item", "item_id", "n_windows", "line", "at",
         F.zip_with("slots", "values", lambda x, y: F.struct(x.alias("b"), y.alias("d"))).alias("pair"),

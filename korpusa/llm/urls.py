@@ -8,8 +8,9 @@ the ``://``, query and fragment included, lower-cased (a URL without ``://``: al
 halfway between the low tail of the accepted and the high tail of the rejected.
 
 Every distinct n-gram is scored once, then joined to the distinct URLs' n-grams, so the work follows
-distinct text, not rows. The n-gram tables are bounded by the alphabet and are left to adaptive
-execution to broadcast or to shuffle by their measured size.
+distinct text, not rows. N-grams that a large share of all URLs hold ("www.") and URLs that a large share
+of all rows hold (null ones) meet their one score by broadcast where they are (split_join), all others by
+shuffle; their rows are counted where the n-grams and URLs are counted anyway.
 
 Defined results: null url or one without ``://`` has empty host and path and no rule; null and empty URLs
 score 0, others by their text; very long URLs are scored whole; a score at the threshold (a tie) is allowed; every row keeps its own output row; without training URLs of both
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, split_join, table
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -82,14 +83,15 @@ def log_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def scored(urls: DataFrame) -> DataFrame:
     """``(s, label, score)`` of distinct texts; input (s, label, n): label 1 accepted, -1 rejected, 0 unknown."""
     every = durable(grams(urls, "label", "n").groupBy("g").agg(
-        F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") < 0, F.col("n")).otherwise(0)).alias("b")
+        F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") < 0, F.col("n")).otherwise(0)).alias("b"),
+        F.count("*").alias("c__"),
     ))
-    counts = every.where("a + b > 0")
+    counts = every.where("a + b > 0").select("g", "a", "b")
     both = counts.agg(F.sum("a"), F.sum("b")).first()
     if not both[0] or not both[1]:
         return urls.select("s", "label", F.lit(0.0).alias("score"))
     ratios = log_ratios(counts, every.select("g"))
-    sums = grams(urls, "s").join(ratios, "g").groupBy("s").agg(F.avg("r").alias("score"))
+    sums = split_join(grams(urls, "s"), ratios, ["g"], counts=every.select("g", "c__")).groupBy("s").agg(F.avg("r").alias("score"))
     return urls.select("s", "label").join(sums, "s").select("s", "label", F.when(F.length("s") == 0, 0.0).otherwise(F.col("score")).alias("score"))
 
 
@@ -109,10 +111,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple = SEEDS) -> DataF
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"))
     seeded = F.col("s").rlike("|".join(seeds)) if seeds else F.lit(False)
     label = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", -1).when(seeded, -1).otherwise(0)
-    urls = rows.groupBy("s").agg(F.max(label).alias("label"), F.count("*").alias("n"))
+    urls = durable(rows.groupBy("s").agg(F.max(label).alias("label"), F.count("*").alias("n")))
     scores = durable(scored(urls))
     least = threshold(scores)
-    return rows.join(scores.select("s", "score"), "s").select(
+    return split_join(rows, scores.select("s", "score"), ["s"], counts=urls.select("s", F.col("n").alias("c__"))).select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("score") < least, "block").otherwise("allow")).alias("verdict"),
         F.round("score", 6).alias("score"),

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from korpusa.llm import common
 from korpusa.llm import decontaminate as D
 
 
@@ -60,9 +61,10 @@ def brute(docs, bench):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("shipped", [D.MOST_SHIPPED, -1])
-def test_equals_brute_force(spark, monkeypatch, shipped):
+@pytest.mark.parametrize("shipped, heavy", [(D.MOST_SHIPPED, common.HEAVY), (D.MOST_SHIPPED, 2), (-1, 2)])
+def test_equals_brute_force(spark, monkeypatch, shipped, heavy):
     monkeypatch.setattr(D, "MOST_SHIPPED", shipped)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rng = random.Random(9)
     words = ["apples", "trains", "leave", "the", "with", "and", "travel", "costs", "each", "shop", "then", "how", "many"]
     bench = [(i, "we say " + " ".join(rng.choice([*words, "12", "7.5", "kg", "near Alice", "$"]) for _ in range(rng.randrange(4, 40)))) for i in range(15)]

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from korpusa.llm import common
 from korpusa.llm import simhash as S
@@ -141,6 +142,25 @@ def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
     assert {r.k for r in common.heavy_keys(rows, ["k"]).collect()} == {0}
     want = sorted(map(tuple, rows.join(names, ["k"]).collect()))
     assert sorted(map(tuple, common.split_join(rows, names, ["k"]).collect())) == want
+    counts = rows.groupBy("k").agg(F.count("*").alias("c__"))
+    assert sorted(map(tuple, common.split_join(rows, names, ["k"], counts=counts).collect())) == want
+
+
+def test_hot_keys_of_both_sides_are_dealt_over_shares(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    monkeypatch.setattr(common, "HEAVY_SHARE", 4)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 0, k // 2) for k in range(40)], "k long, x long")
+    many = spark.createDataFrame([(0, f"a{i}") for i in range(20)] + [(1, "b"), (1, "b"), (9, "c")], "k long, name string")
+    want = sorted(map(tuple, rows.join(many, ["k"]).collect()))
+    got = common.salted_join(rows, many, ["k"], ["x"])
+    assert got.columns == ["k", "x", "name"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_components_with_a_hub_of_largest_id(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    edges = [(1000, i) for i in range(0, 60, 2)] + [(i, i + 1) for i in range(0, 60, 2)] + [(2000, 2001)]
+    got = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in (*range(60), 1000)}, 2000: 2000, 2001: 2000}
 
 
 def test_very_long_and_empty_texts(spark):

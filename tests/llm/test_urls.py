@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
+from korpusa.llm import common
 from korpusa.llm import urls as U
 
 
@@ -55,7 +58,9 @@ def brute_scores(urls):
     return scores, (low[max(0, math.ceil(0.02 * len(low)) - 1)] + high[max(0, math.ceil(0.98 * len(high)) - 1)]) / 2
 
 
-def test_rules_and_scores(spark):
+@pytest.mark.parametrize("heavy", [common.HEAVY, 3])
+def test_rules_and_scores(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rng = random.Random(8)
     hosts = ["a.example.net", "example.net", "net", "xnet", "www.example.com", "EXAMPLE.org", "b.org", "cheap-pills.com", "fine.com", "ünï.com:80"]
     paths = ["", "/", "/en/1", "/de/2?x=/fr/", "/fr/9#a", "/en", "?q=://", "/FR/3", "/en/1"]
