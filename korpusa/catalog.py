@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, audits, chunking, composed, indexed, operations, paragraphs, parsing, regulations, retrieval, rules, star, stores, streams, vector_indexes
+from .plans import answers, audits, chunking, composed, indexed, operations, paragraphs, parsing, records, regulations, retrieval, rules, star, stores, streams, vector_indexes
 
-MODULES = (retrieval, composed, indexed, operations, rules, answers, audits, chunking, regulations, paragraphs, parsing, streams, stores, vector_indexes, star)
+MODULES = (retrieval, composed, indexed, operations, rules, answers, audits, chunking, regulations, paragraphs, parsing, records, streams, stores, vector_indexes, star)
 #: Rules over a few inline rows, which other queries apply to whole tables (named in the README): tested, not registered.
 INLINE = frozenset(
     "metadata_boost rerank_boosted literal_table_search literal_indicator_search classify_queries expand_queries focus_terms natural_order sse_events "
