@@ -83,14 +83,14 @@ def figure_chunks(figures: DataFrame) -> DataFrame:
     """``(doc_id, figure_id, kind, context_header, section, table_context, text)``: one chunk a figure that was read.
 
     figures: (doc_id, figure_id, page, figure_number, caption, width, height, hash, method, detail). Of identical
-    images of a document the first by page and id stays, by a partial minimum, so that an image on every page is no
-    group of rows; of repeated rows of a figure one stays. Photos, failed and skipped extractions and those without a detail give no chunk.
+    images of a document the first by page and id (then by its other fields) stays, by partial minima, so that an image
+    on every page is no group of rows; an image without hash is one of its own. Photos, failed and skipped extractions and those without a detail give no chunk.
     """
     wanted = figures.withColumn("kind", figure_kind("caption", "width", "height")).where(
         ~F.col("kind").isin(*SKIPPED_KINDS) & ~F.coalesce("method", F.lit("failed")).isin(*SKIPPED_METHODS) & F.coalesce(F.col("detail").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
     )
-    first = wanted.groupBy("doc_id", "hash").agg(F.min(F.struct("page", "figure_id")).alias("at")).select("doc_id", "hash", "at.*")
-    kept = wanted.dropDuplicates(["doc_id", "hash", "page", "figure_id"]).join(first, ["doc_id", "hash", "page", "figure_id"])
+    image = F.coalesce("hash", F.concat(F.lit("figure "), "figure_id")).alias("image")
+    kept = wanted.groupBy("doc_id", image).agg(F.min(F.struct("page", "figure_id", "kind", "figure_number", "caption", "method", "detail")).alias("f")).select("doc_id", "f.*")
     caption = F.coalesce("caption", F.lit(""))
     return kept.select(
         "doc_id", "figure_id", "kind", F.concat(F.lit("Figure: "), filled(F.col("figure_number"), F.lit("Figure"))).alias("context_header"), caption.alias("section"),

@@ -53,12 +53,16 @@ def test_figure_chunks(spark):
         (1, "e", 1, None, None, 10, 10, "r", None, "rinci", 0),
         (1, "f", 1, None, None, 10, 10, "s", "ocr", " \n", 0),
         (1, "g", 1, None, None, 10, 10, "t", "ocr", None, 0),
+        (1, "h", 3, "", "", 10, 10, None, "ocr", "satu", 0),
+        (1, "i", 3, "", "", 10, 10, None, "ocr", "dua", 0),
         (2, "a", 1, "Gambar 2", "Gambar 2. Grafik", 90, 10, "h", "vision", "naik\n", 0),
     ]
     df = spark.createDataFrame(rows, FIGURE)
     got = sorted(map(tuple, R.figure_chunks(df).collect()))
     assert got == [
         (1, "a", "diagram", "Figure: Figure", "", "diagram|a|page:2|ocr", " rinci "),
+        (1, "h", "diagram", "Figure: Figure", "", "diagram|h|page:3|ocr", "satu"),
+        (1, "i", "diagram", "Figure: Figure", "", "diagram|i|page:3|ocr", "dua"),
         (2, "a", "bar_chart", "Figure: Gambar 2", "Gambar 2. Grafik", "bar_chart|a|page:1|vision", "Gambar 2. Grafik\n\nnaik"),
     ]
     assert R.figure_chunks(df.limit(0)).collect() == []
