@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .batches import sliced
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 MOST_SHIPPED, QUESTIONS, TEXTS = 1_000_000, 512, 512
+#: Texts whose tokens are counted at a time.
+COUNTED = 1024
 
 
 def search_text(*fields: Column) -> Column:
@@ -39,10 +42,10 @@ def split_tokens(column: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
 
 
 def term_counts(joined: DataFrame) -> DataFrame:
-    """``(term, df, tokens)`` of ``joined(toks)``: texts that hold a term, and its occurrences; summed in each batch first."""
+    """``(term, df, tokens)`` of ``joined(toks)``: texts that hold a term, and its occurrences; summed in COUNTED texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, COUNTED):
             size, flat = split_tokens(b.column("toks"))
             coded = flat.dictionary_encode()
             code, n = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
@@ -113,33 +116,31 @@ def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None, k
             has = np.zeros_like(w)
             has[col, row[at] - lo] = 1.0
             blocks.append((lo, used, w, has))
-        for batch in batches:
-            for start in range(0, len(batch), TEXTS):
-                b = batch.slice(start, TEXTS)
-                ids = b.column("id").to_numpy()
-                size, flat = split_tokens(b.column("toks"))
-                found = pc.index_in(flat, value_set=terms)
-                known = found.is_valid().to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(b)), size)[known]
-                key, tf = np.unique(doc * len(terms) + found.drop_null().to_numpy().astype(np.int64), return_counts=True)
-                doc, term = np.divmod(key, max(len(terms), 1))
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-                for lo, used, w, has in blocks:
-                    col = np.searchsorted(used, term)
-                    ok = (col < len(used)) & (used[np.minimum(col, len(used) - 1)] == term) if len(used) else np.zeros(len(term), bool)
-                    f, g = np.zeros((len(b), len(used))), np.zeros((len(b), len(used)))
-                    f[doc[ok], col[ok]], g[doc[ok], col[ok]] = part[ok], 1.0
-                    allowed = np.ones((w.shape[1], len(b)), bool)
-                    if scope is not None:
-                        allowed = scope[lo : lo + w.shape[1], None] == np.array(b.column(keep[0]).to_pylist(), object)[None, :]
-                    for kind in kinds:
-                        scores = np.round(f @ w, 6).T if kind == "bm25" else np.rint(g @ has).T
-                        scores = np.where((scores > 0) & allowed, scores, -np.inf)
-                        s0, i0 = kept[kind]
-                        s = np.concatenate([s0[lo : lo + len(scores)], scores], axis=1)
-                        i = np.concatenate([i0[lo : lo + len(scores)], np.broadcast_to(ids, scores.shape)], axis=1)
-                        order = np.lexsort((i, -s), axis=1)[:, :k]
-                        s0[lo : lo + len(scores)], i0[lo : lo + len(scores)] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        for b in sliced(batches, TEXTS):
+            ids = b.column("id").to_numpy()
+            size, flat = split_tokens(b.column("toks"))
+            found = pc.index_in(flat, value_set=terms)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(b)), size)[known]
+            key, tf = np.unique(doc * len(terms) + found.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            doc, term = np.divmod(key, max(len(terms), 1))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+            for lo, used, w, has in blocks:
+                col = np.searchsorted(used, term)
+                ok = (col < len(used)) & (used[np.minimum(col, len(used) - 1)] == term) if len(used) else np.zeros(len(term), bool)
+                f, g = np.zeros((len(b), len(used))), np.zeros((len(b), len(used)))
+                f[doc[ok], col[ok]], g[doc[ok], col[ok]] = part[ok], 1.0
+                allowed = np.ones((w.shape[1], len(b)), bool)
+                if scope is not None:
+                    allowed = scope[lo : lo + w.shape[1], None] == np.array(b.column(keep[0]).to_pylist(), object)[None, :]
+                for kind in kinds:
+                    scores = np.round(f @ w, 6).T if kind == "bm25" else np.rint(g @ has).T
+                    scores = np.where((scores > 0) & allowed, scores, -np.inf)
+                    s0, i0 = kept[kind]
+                    s = np.concatenate([s0[lo : lo + len(scores)], scores], axis=1)
+                    i = np.concatenate([i0[lo : lo + len(scores)], np.broadcast_to(ids, scores.shape)], axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    s0[lo : lo + len(scores)], i0[lo : lo + len(scores)] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         for kind, (s, i) in kept.items():
             r, c = np.nonzero(s > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(r), pa.string()), pa.array(query[r], pa.int64()), pa.array(i[r, c]), pa.array(s[r, c])], ["kind", "query_id", "id", "score"])
