@@ -82,26 +82,28 @@ def run(lines: DataFrame, machine: Machine, key: str = "doc_id", segment: int =
     names = machine.registers
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        box: list[pa.DataType] = []
-
-        def batch() -> pa.RecordBatch:
-            kinds = [box[0], pa.int64(), *[pa.string()] * (2 + len(names))]
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "n", "line", "role", *names])
-
-        for (k, _), held in _pieces(_typed(batches, box)):
-            state, values = held[0][3] or 0, dict.fromkeys(names) | json.loads(held[0][4] or "{}")
-            for n, line, mark, _, _ in held:
+        at, state, values = None, 0, {}
+        for b in batches:
+            # registers change on few lines: each batch keeps their versions, and the number of its version for each line
+            versions, place, roles = [tuple(values.values())], [], []
+            ks, segs, ns, texts, marks = (b.column(c).to_pylist() for c in ("k", "seg", "n", "line", "flag"))
+            for i, (k, seg, n, line, mark) in enumerate(zip(ks, segs, ns, texts, marks, strict=True)):
+                if at != (k, seg):
+                    at, state = (k, seg), b.column("state")[i].as_py() or 0
+                    values = dict.fromkeys(names) | json.loads(b.column("held")[i].as_py() or "{}")
+                    versions.append(tuple(values.values()))
                 state, sets, role = machine.step(state, line, mark)
-                for r, v in sets.items():
-                    values[r] = str(n) if v == HERE else v
-                out.append((k, n, line, role, *(values[r] for r in names)))
-            if len(out) >= 10_000:
-                yield batch()
-                out.clear()
-        if out:
-            yield batch()
+                if sets:
+                    for r, v in sets.items():
+                        values[r] = str(n) if v == HERE else v
+                    versions.append(tuple(values.values()))
+                place.append(len(versions) - 1)
+                roles.append(role)
+            own = pa.array(place, pa.int32())
+            if not versions[0]:  # before the first line of all
+                versions[0] = (None,) * len(names)
+            registers = [pa.array([v[j] for v in versions], pa.string()).take(own) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), b.column("line"), pa.array(roles, pa.string()), *registers], ["k", "n", "line", "role", *names])
 
     schema = ", ".join(["k " + kind, "n long", "line string", "role string", *(f"{r} string" for r in names)])
     return rows.repartition("k", "seg").sortWithinPartitions("k", "seg", "n").mapInArrow(go, schema).withColumnRenamed("k", key)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.formats import written
 from .automata import HERE, Machine, run
 from .documents import HEADING, guide_parts, guideline_parts, joined, report_parts
 from .parsers import split_rows
@@ -150,7 +151,7 @@ def _path(*parts: Column | str) -> Column:
 def chunk_regulations(parts: DataFrame, headers: DataFrame, size: tuple[int, int] = SIZES["peraturan"]) -> DataFrame:
     """Chunks of ``regulation_parts()`` with ``regulation_header()``: clauses packed by article, each chunk under its article's name and text."""
     titles = headers.select(F.col("doc_id").alias("d"), F.trim(F.concat_ws(" ", "jenis", "nomor", F.lit("Tahun"), "tahun")).alias("title"))
-    rows = parts.join(titles, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
+    rows = written(parts, "parts").join(titles, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
     bab = F.when(F.col("bab").isNotNull(), F.concat_ws(" - ", F.concat(F.lit("BAB "), "bab"), F.nullif("bab_title", F.lit(""))))
     pasal = F.concat(F.lit("Pasal "), "pasal")
     rows = rows.withColumns({"bab": F.coalesce(bab, F.lit("")), "pasal": F.coalesce(pasal, F.lit("")), "bagian": F.coalesce("bagian", F.lit(""))})
@@ -175,7 +176,7 @@ def chunk_reports(paragraphs: DataFrame, size: tuple[int, int] = SIZES["laporan"
     """Chunks of ``report_paragraphs()``: paragraphs of a section packed with an empty line between them."""
     at = F.min("n").over(Window.partitionBy("doc_id", "heading", "section"))
     change = F.coalesce(F.lag("heading").over(Window.partitionBy("doc_id").orderBy("n")) != F.col("heading"), F.lit(True))
-    rows = paragraphs.withColumn("section", F.sum(change.cast("int")).over(Window.partitionBy("doc_id").orderBy("n")))
+    rows = written(paragraphs, "paragraphs").withColumn("section", F.sum(change.cast("int")).over(Window.partitionBy("doc_id").orderBy("n")))
     rows = rows.withColumn("at", at).withColumn("unit", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("at").cast("string")))
     heads = rows.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("n"), F.first("heading").alias("hierarchy"))
     given = rows.select("unit", "n", F.lit(False).alias("lead"), F.lit(None).cast("string").alias("label"), F.trim("text").alias("text"))
@@ -185,6 +186,7 @@ def chunk_reports(paragraphs: DataFrame, size: tuple[int, int] = SIZES["laporan"
 def chunk_evaluations(docs: DataFrame, year: Column | str, size: tuple[int, int] = SIZES["laporan"]) -> DataFrame:
     """Chunks of evaluation reports ``docs(doc_id, text, ...)``: conclusions, recommendations with their actions, one chunk an institution."""
     told, scores = report_parts(docs)
+    told = written(told, "told")
     years = docs.select(F.col("doc_id").alias("d"), (F.col(year) if isinstance(year, str) else year).cast("string").alias("year"))
     titled = lambda df: df.join(years, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d").withColumn("top", F.concat(F.lit("Laporan Evaluasi SPBE Tahun "), F.coalesce("year", F.lit(""))))
     rows = titled(told)
@@ -211,7 +213,7 @@ def chunk_evaluations(docs: DataFrame, year: Column | str, size: tuple[int, int]
 
 def chunk_guidelines(lines: DataFrame, title: str = "Pedoman", size: tuple[int, int] = SIZES["pedoman"]) -> DataFrame:
     """Chunks of guidelines: narrative sections, and one text an indicator with description, criteria and evidence by level."""
-    rows = guideline_parts(lines)
+    rows = written(guideline_parts(lines), "parts")
     label = F.concat_ws(" - ", F.concat(F.lit("BAB "), "number"), F.nullif("title", F.lit("")))
     told = rows.where("kind = 'narrative'").withColumns({"bab": label, "bagian": F.col("sub")}).withColumn("hierarchy", F.concat_ws(" > ", F.lit(title), "bab", "bagian"))
     own = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("text")))

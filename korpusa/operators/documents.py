@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.formats import written
 from .automata import HERE, Machine, run
 
 # Patterns of headings and labels: fixed values.
@@ -147,7 +148,7 @@ GUIDE = Machine(3, ("bab_at", "bab", "title"), _guide)
 
 def guide_parts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, n, bab, title, text)`` of a guide's chapters; what stands above the first belongs to it, and texts without chapters have none."""
-    read = run(lines, GUIDE, key)
+    read = written(run(lines, GUIDE, key), "read")  # three steps read it
     heads = read.where("bab_at is not null").groupBy(key, "bab_at").agg(F.first("bab").alias("bab"), F.max("title").alias("title"))
     first = heads.groupBy(F.col(key).alias("k")).agg(F.min(F.col("bab_at").cast("long")).alias("first"))
     text = read.where("role = 'text'").join(first, F.col(key).eqNullSafe(F.col("k"))).select(F.col(key).alias("k"), F.coalesce(F.col("bab_at").cast("long"), "first").alias("at"), "n", "line")
@@ -187,7 +188,7 @@ def letter_parts(lines: DataFrame, key: str = "doc_id", window: int = 100) -> Da
     """
     heads = lines.where((F.col("n") > 0) & F.col("line").rlike(r"(?i)^\s*(?:#+\s*)?(?:\*\*)?LAMPIRAN(?:\s+.*)?$"))
     flags = _flagged(lines, heads.groupBy(key).agg(F.min("n").alias("start")), key)
-    read = run(flags.withColumn("flag", F.col("flag") + F.when(F.col("n") < window, 2).otherwise(0)), LETTER, key)
+    read = written(run(flags.withColumn("flag", F.col("flag") + F.when(F.col("n") < window, 2).otherwise(0)), LETTER, key), "read")  # four steps read it
     people = read.where(F.col("role").contains("recipient")).groupBy(key).agg(joined(F.trim("line")).alias("text")).select(key, F.lit("penerima").alias("part"), "text")
     tail = read.where("role = 'appendix'").groupBy(key).agg(joined("line").alias("text")).select(key, F.lit("lampiran").alias("part"), "text")
     each = read.where(F.col("role").contains("content")).groupBy(key, "section", "section_at").agg(joined("line").alias("text"), F.max("n").alias("end"))
@@ -206,48 +207,49 @@ def letter_parts(lines: DataFrame, key: str = "doc_id", window: int = 100) -> Da
 # --- guidelines with indicators -----------------------------------------------------------------------------
 
 NARRATIVE, INDICATOR = 5, 9
+BARE_CHAPTER = re.compile(r"^BAB\s+([IVXLCDM]+)\s*$", re.I)
+LETTERED = re.compile(r"^([A-Z])\.\s+(.*)$")
+LAST_CHAPTER = re.compile(r"^BAB III(?:\s|$)", re.I)
+ASKED = re.compile(r"^INDIKATOR\s+\d+")
+NAME_MARK = re.compile(r"ID-\d+\s*$", re.I)
+LABELS = re.compile(r"^(?:(?P<about>Deskripsi Indikator.*?:)|(?P<rules>Ketentuan Penilaian)|Level (?P<level>[1-5])\b|Kriteria (?:(?P<criteria>Level)|(?P<evidence>Bukti Dukung)|(?P<met>pemenuhan)))", re.I)
+LABELLED = {"about": (4, {}, "description"), "rules": (3, {}, ""), "criteria": (6, {}, "criteria"), "evidence": (7, {}, "evidence"), "met": (5, {}, "")}
+DOMAIN = re.compile(r"^DOMAIN", re.I)
 
 
 def _narrative(p: int, s: str) -> tuple[int, dict[str, str | None], str]:
     """0 outside, 1 a chapter's title is next, 2 in a chapter, 3 in a lettered section, 4 after a line "I." that may close the chapters."""
-    if m := re.match(r"^BAB\s+([IVXLCDM]+)\s*$", s, re.I):
+    if m := BARE_CHAPTER.match(s):
         return 1, {"bab_at": HERE, "bab": m[1].upper(), "bab_title": None, "sub_at": None, "sub": None, "sub_title": None}, ""
-    if p == 0 or (p == 4 and re.match(r"^DOMAIN", s, re.I)):
+    if p == 0 or (p == 4 and DOMAIN.match(s)):
         return 0, {}, ""
     if p == 1:
         return (2, {"bab_title": s}, "") if s else (1, {}, "")
-    if m := re.match(r"^([A-Z])\.\s+(.*)$", s):
+    if m := LETTERED.match(s):
         return 3, {"sub_at": HERE, "sub": m[1], "sub_title": m[2].strip()}, ""
     return (4, {}, "") if s == "I." else (max(p, 2) if p != 4 else 2, {}, "narrative")
 
 
 def _indicator(q: int, s: str) -> tuple[int, dict[str, str | None], str]:
     """0 outside, 1 before the name's mark, 2 name, 3 between parts, 4 description, 5 level, 6 its criteria, 7 its evidence, 8 over."""
-    if q == 8 or re.match(r"^BAB III(?:\s|$)", s, re.I):
+    if q == 8 or LAST_CHAPTER.match(s):
         return 8, {}, ""
-    if re.match(r"^INDIKATOR\s+\d+", s):
+    if ASKED.match(s):
         return 1, {"ind_at": HERE, "level": None}, "head"
     if q == 0:
         return 0, {}, ""
     if q == 1:
-        return (2 if re.search(r"ID-\d+\s*$", s, re.I) else 1), {}, "head"
-    if m := re.match(r"^Deskripsi Indikator.*?:", s, re.I):
-        return 4, {}, "description"
-    if re.match(r"^Ketentuan Penilaian", s, re.I):
-        return 3, {}, ""
-    if m := re.match(r"^Level ([1-5])\b", s, re.I):
-        return 5, {"level": m[1]}, ""
-    if re.match(r"^Kriteria Level", s, re.I) and q >= 5:
-        return 6, {}, "criteria"
-    if re.match(r"^Kriteria Bukti Dukung", s, re.I) and q >= 5:
-        return 7, {}, "evidence"
-    if re.match(r"^Kriteria pemenuhan", s, re.I) and q >= 5:
-        return 5, {}, ""
+        return (2 if NAME_MARK.search(s) else 1), {}, "head"
+    if m := LABELS.match(s):
+        if m.lastgroup == "level":
+            return 5, {"level": m["level"]}, ""
+        if m.lastgroup in ("about", "rules") or q >= 5:
+            return LABELLED[m.lastgroup]
     return q, {}, ("", "head", "name", "", "description", "", "criteria", "evidence")[q]
 
 
 def _guideline(state: int, line: str, flag: int) -> tuple[int, dict[str, str | None], str]:
-    s = FOOTER.sub("", line).strip()
+    s = (FOOTER.sub("", line) if "-" in line else line).strip()
     (p, a, x), (q, b, y) = _narrative(state // INDICATOR, s), _indicator(state % INDICATOR, s)
     return p * INDICATOR + q, a | b, f"{x}|{y}"
 
@@ -261,7 +263,8 @@ def guideline_parts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     Narrative (kind ``narrative``): number and title of the chapter, ``sub`` the lettered section ("A. title"; "Umum" for a chapter
     without any; text above the first letter is left out). Indicators stand above chapter III; ``number`` counts them in order.
     """
-    read = run(lines, GUIDELINE, key).withColumn("line", stripped(F.regexp_replace("line", r"(?i)-\d+-\s+jdih\.menpan\.go\.id", "")))
+    read = run(lines, GUIDELINE, key).where("role <> '|' or sub_at is not null or ind_at is not null").withColumn("line", stripped(F.when(F.col("line").contains("-"), F.regexp_replace("line", r"(?i)-\d+-\s+jdih\.menpan\.go\.id", "")).otherwise(F.col("line"))))
+    read = written(read, "read")  # five steps read it
     told = read.where(F.col("role").startswith("narrative|"))
     lettered = read.where("sub_at is not null").select(F.col(key).alias("k"), F.col("bab_at").alias("b")).distinct()
     general = told.where("sub_at is null").join(lettered, F.col(key).eqNullSafe(F.col("k")) & (F.col("bab_at") == F.col("b")), "left_anti")
@@ -286,6 +289,13 @@ def guideline_parts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 # --- evaluation reports -------------------------------------------------------------------------------------
 
 SKIP = 7
+AFTER_CONCLUSION = re.compile(r"^(?:Tindak Lanjut|Tabel)", re.I)
+BULLET = re.compile(r"^(?:\d+\.|●|-)")
+AFTER_ADVICE = re.compile(r"^(?:Tabel \d+|Mendukung Arah Transformasi)", re.I)
+POINT = re.compile(r"^(\d+)\.\s+(.*)")
+CONCLUSIONS = re.compile(r"^Kesimpulan\s*$", re.I)
+ADVICE = re.compile(r"^Tindak Lanjut dan Rekomendasi\s*$", re.I)
+ROW = re.compile(SCORE_ROW)
 
 
 def _report(state: int, line: str, flag: int) -> tuple[int, dict[str, str | None], str]:
@@ -297,25 +307,25 @@ def _report(state: int, line: str, flag: int) -> tuple[int, dict[str, str | None
         return (0 if state == 6 else state - 1), {}, "record"
     s = line.strip()
     if state == 1:
-        if not re.match(r"^(?:Tindak Lanjut|Tabel)", s, re.I):
+        if not AFTER_CONCLUSION.match(s):
             return 1, {}, "conclusion"
     elif state >= 2:
-        bullet = re.match(r"^(?:\d+\.|●|-)", s)
+        bullet = BULLET.match(s)
         if state >= 4 and not bullet:
             return state, {}, "action" if state == 4 else ""
-        if state >= 4 or not re.match(r"^(?:Tabel \d+|Mendukung Arah Transformasi)", s, re.I):
-            if m := re.match(r"^(\d+)\.\s+(.*)", s):
+        if state >= 4 or not AFTER_ADVICE.match(s):
+            if m := POINT.match(s):
                 return 3, {"point_at": HERE, "point": m[1], "point_title": re.sub(r":$", "", m[2]).strip(), "action_at": None}, "point"
             if s.startswith(("●", "-")):
                 return (5, {}, "") if state in (2, 5) else (4, {"action_at": HERE}, "action")
             return (2 if state in (2, 5) else 3), {}, ""
-    if re.match(r"^Kesimpulan\s*$", s, re.I):
+    if CONCLUSIONS.match(s):
         return 1, {"conclusion_at": HERE}, ""
-    if re.match(r"^Tindak Lanjut dan Rekomendasi\s*$", s, re.I):
+    if ADVICE.match(s):
         return 2, {"point_at": None, "action_at": None}, ""
     if m := SCORE_TABLE.match(s):
         return 0, {"table_kind": m[1].strip()}, ""
-    if re.search(SCORE_ROW, s):
+    if ":" in s and ROW.search(s):
         return 0, {}, "row"
     return (5 + SKIP, {}, "candidate") if flag else (0, {}, "")
 
@@ -350,7 +360,7 @@ def report_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     of records that overlap the first one counts. A line after a record that is no number and no heading ends its name.
     """
     rows = report_lines(docs, key, text)
-    read = run(rows, REPORT, key)
+    read = written(run(rows, REPORT, key).where("role not in ('', 'record')"), "read")  # six steps read it
     ends = read.where("role = 'conclusion'").groupBy(key, "conclusion_at").agg(F.min("n").alias("n"), joined("line", " ").alias("text"))
     none = F.lit(None).cast("string")
     told = ends.select(key, "n", F.lit("conclusion").alias("kind"), none.alias("number"), F.lit("Kesimpulan Evaluasi").alias("title"), "text")
@@ -396,7 +406,7 @@ def report_paragraphs(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Paragraphs above the first heading are left out; a text without headings is one section, "Dokumen".
     """
-    read = run(lines, PARAGRAPHS, key)
+    read = written(run(lines, PARAGRAPHS, key).where("role <> ''"), "read")  # three steps read it
     headed = read.where("role = 'heading'").select(F.col(key).alias("k")).distinct()
     paras = read.where("role = 'text'").groupBy(key, "head_at", "para_at").agg(F.min("n").alias("n"), F.first("heading").alias("heading"), F.first("level").cast("int").alias("level"), joined("line").alias("text"))
     loose = paras.where("head_at is null").join(headed, F.col(key).eqNullSafe(F.col("k")), "left_anti").withColumns({"heading": F.lit("Dokumen"), "level": F.lit(1)})
