@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import sliced
+
 #: Largest chunk and overlap in characters by document type, fixed values.
 SIZES = {"peraturan": (900, 150), "laporan": (1800, 200), "pedoman": (1800, 200), "umum": (600, 100)}
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
@@ -65,10 +67,10 @@ def packed(docs: DataFrame, most: int) -> DataFrame:
     One pass over each text, in time linear in it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             rows = []
-            for doc, text in zip(b.doc_id, b.text, strict=True):
+            for doc, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 held, size, at = [], 0, 0
                 for line in (x for x in (text or "").split("\n") if x.strip(" ")):
                     if held and size + 1 + len(line) > most:
@@ -78,9 +80,14 @@ def packed(docs: DataFrame, most: int) -> DataFrame:
                     held.append(line)
                 if held:
                     rows.append((doc, at, "\n".join(held)))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+            yield _batch(rows, [pa.int64(), pa.int32(), pa.string()], ["doc_id", "chunk_index", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, text string")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string")
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -118,15 +125,15 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 def chunk_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """``(doc_id, chunk_index, chunk_parts, text)`` with dense indexes; chunks under ten characters are dropped first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             rows = []
-            for doc, text in zip(b.doc_id, b.text, strict=True):
+            for doc, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 kept = [c for c in split_recursively(text or "", size, overlap) if len(c) >= LEAST]
                 rows += [(doc, i, len(kept), c) for i, c in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_parts", "text"])
+            yield _batch(rows, [pa.int64(), pa.int32(), pa.int32(), pa.string()], ["doc_id", "chunk_index", "chunk_parts", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, chunk_parts int, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, chunk_parts int, text string")
 
 
 def with_context(chunks: DataFrame, width: int = 500) -> DataFrame:
@@ -138,9 +145,10 @@ def with_context(chunks: DataFrame, width: int = 500) -> DataFrame:
 def choose_by_count(first: DataFrame, second: DataFrame, least: int = 20, key: str = "doc_id") -> DataFrame:
     """Per document the first chunking, unless it has fewer than ``least`` chunks and the second has more."""
     both = first.withColumn("way", F.lit(1)).unionByName(second.withColumn("way", F.lit(2)))
-    n = both.groupBy(key).agg(F.count_if(F.col("way") == 1).alias("n1"), F.count_if(F.col("way") == 2).alias("n2"))
-    pick = n.select(key, F.when((F.col("n1") < least) & (F.col("n2") > F.col("n1")), 2).otherwise(1).alias("way"))
-    return both.join(pick, [key, "way"])
+    own = Window.partitionBy(key)
+    n1, n2 = (F.count_if(F.col("way") == way).over(own) for way in (1, 2))
+    counted = both.withColumns({"n1": n1, "n2": n2})  # one pass over the chunks, which a join with their counts would make twice
+    return counted.where(F.col("way") == F.when((F.col("n1") < least) & (F.col("n2") > F.col("n1")), 2).otherwise(1)).drop("n1", "n2")
 
 
 def linearize_table(block: Column) -> Column:
