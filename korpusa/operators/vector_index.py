@@ -217,7 +217,7 @@ class VectorIndex:
         right = lists.join(F.broadcast(sizes), "cell").withColumn("g", F.pmod("g", "groups").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("groups")
 
         def local(a: pa.Table, b: pa.Table) -> pa.Table:
-            out: tuple[list[int], list[int], list[float]] = ([], [], [])
+            asked, rows, near = ([np.zeros(0, kind)] for kind in (np.int64, np.int64, np.float64))  # a short list may hold a tenth of all rows: no Python objects
             if a.num_rows and b.num_rows:
                 q = unit_rows(a["vec"], width)
                 ids = b["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -229,10 +229,10 @@ class VectorIndex:
                     s = base[i] + codes[fit] @ (q[i] * (model.reach / 127))
                     least = np.partition(s, len(s) - k)[len(s) - k] - 2 * model.error if len(s) > k else -np.inf
                     kept = np.flatnonzero(s >= least)
-                    out[0].extend([one] * len(kept))
-                    out[1].extend(ids[fit[kept]].tolist())
-                    out[2].extend(s[kept].tolist())
-            return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "near"])
+                    asked.append(np.full(len(kept), one, np.int64))
+                    rows.append(ids[fit[kept]])
+                    near.append(s[kept])
+            return pa.table([pa.array(np.concatenate(x)) for x in (asked, rows, near)], names=["query_id", "id", "near"])
 
         keys = ("cell", "g", "p")
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(local, "query_id long, id long, near double")

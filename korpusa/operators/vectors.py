@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most queries and data vectors of one block.
-QUERIES, ROWS = 1024, 32_768
+#: Most queries and data vectors of one block, and queries whose scores a task holds at a time.
+QUERIES, ROWS, ASKED = 1024, 32_768, 64
 
 
 def top_cosine(data: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
@@ -41,7 +41,8 @@ def top_cosine(data: DataFrame, queries: DataFrame, k: int, same: str | None = N
         a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
         ids, out = right["id"].to_numpy(), ([], [], [])
         labels = (left[same].to_numpy(zero_copy_only=False), right[same].to_numpy(zero_copy_only=False)) if same else None
-        for i, (qid, s) in enumerate(zip(left["query_id"].to_pylist(), np.round(a @ b.T, 6) + 0.0, strict=True)):
+        scores = (row for at in range(0, len(a), ASKED) for row in np.round(a[at : at + ASKED] @ b.T, 6) + 0.0)
+        for i, (qid, s) in enumerate(zip(left["query_id"].to_pylist(), scores, strict=True)):
             at = np.flatnonzero(labels[1] == labels[0][i]) if labels else np.arange(len(ids))
             best = at[np.lexsort((ids[at], -s[at]))[:k]]
             out[0].extend([qid] * len(best))
