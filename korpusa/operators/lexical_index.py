@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.formats import written
+from .batches import sliced
 from .lexical import FLOOR, K1, B, asked_terms
 from .numbering import laid_out, placed
 
 #: Documents of a block at least, as a power of two; a segment has at most about MOST_BLOCKS blocks.
 BLOCK_BITS, MOST_BLOCKS = 6, 1 << 20
 #: Tokens of a bucket of postings, on average; blocks that are scored first to get a threshold; asked terms that are broadcast at most.
-BUCKET_TOKENS, SEEDS, MOST_SHIPPED = 1 << 26, 4, 1_000_000
+BUCKET_TOKENS, SEEDS, MOST_SHIPPED = 1 << 22, 4, 1_000_000
 #: Rounding of scores is to 6 places, so a bound this close below the threshold may still tie.
 SLACK = 1e-5
 FORWARD = "id long, dl long, terms array<string>, tfs array<int>"
@@ -101,7 +102,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """``docs(id, text)`` as FORWARD: length in tokens, distinct terms and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 512):
             counts = [Counter(t.split(" ")) if t else Counter() for t in b.column("toks").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
