@@ -131,3 +131,12 @@ def test_prediction_equals_plain_scoring(spark):
         want = "bb" if e["bb"] < e["aa"] else "aa"
         assert tuple(r)[4] == want and r.score == 1.5 and r.lang_pred == "keep" and math.isclose(r.entropy, e[want], rel_tol=1e-4)
     assert L.keep_known(probes, L.train(df)).columns == probes.columns
+
+
+def test_limits_come_from_all_training_texts(spark):
+    from types import SimpleNamespace
+
+    own = [("a", i / 1000, 500) for i in range(10_000)] + [("b", 1.0, 500)] * 3 + [("b", 99.0, L.LEAST_SIZE - 1)]
+    model = SimpleNamespace(languages=["a", "b", "c"], limits=np.full(3, np.inf))
+    L.calibrate(model, spark.createDataFrame(own, "lang string, e double, size long"))
+    assert model.limits.tolist() == [9.949, 1.0, np.inf]
