@@ -7,6 +7,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from korpusa.llm import bpe
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -47,3 +48,13 @@ def test_digests(spark, pair):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.digests(df.limit(0), PATH).collect() == []
+
+
+def test_one_worker_encodes_and_decodes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = bpe.decode(bpe.encode(docs, PATH), PATH)
+    coded = bpe.coded(docs, PATH)
+    assert coded.schema == both.schema and sorted(map(tuple, coded.collect())) == sorted(map(tuple, both.collect()))
+    # two Python steps in a task are two workers, each of which may come to hold the vocabulary
+    for df in (bpe.digests(docs, PATH), corpus_pipeline.tokens(spark, docs, sf)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
