@@ -2,13 +2,14 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from korpusa.operators import evaluation as E
 from korpusa.operators.keyed_store import KeyedStore
 from korpusa.operators.numbering import numbered
-from korpusa.streaming.tokens import run_judged
+from korpusa.streaming.tokens import NEVER, Guard, run_judged
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -33,6 +34,65 @@ def test_tokens_in_batches_with_late_rows(spark, tmp_path):
     assert got == want and len({x for _, x in want}) == 2
 
 
+def test_calls_on_state_do_not_grow_with_rows():
+    class Cell:
+        def __init__(self, calls, rows):
+            self.calls, self.rows = calls, rows
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls.append(name)
+                if name == "get":
+                    return iter(self.rows) if isinstance(self.rows, list) else self.rows
+                if name == "exists":
+                    return bool(self.rows)
+                if name in ("appendValue", "appendList"):
+                    self.rows = self.rows + (given[0] if name == "appendList" else [given[0]])
+                elif name in ("put", "update"):
+                    self.rows = given[0]
+                elif name == "clear":
+                    self.rows = [] if isinstance(self.rows, list) else None
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers = [], []
+
+        def getListState(self, *_):
+            return Cell(self.calls, [])
+
+        def getValueState(self, *_):
+            return Cell(self.calls, None)
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def run(n):
+        guard, handle = Guard(), Handle()
+        guard.init(handle)
+        rows = pd.DataFrame([(1000 * i, i, NEVER) if i % 7 else (1000 * i, -1, 1000 * i + 2500) for i in reversed(range(1, n))], columns=["at", "use", "until"])
+        list(guard.handleInputRows((1,), iter([rows]), Clock(0)))
+        out = []
+        for ms in (n // 2, 2 * n):  # each watermark fires the timers up to it
+            due = [t for t in handle.timers if t <= ms]
+            handle.timers = [t for t in handle.timers if t > ms]
+            for _ in due:
+                out += [x for f in guard.handleExpiredTimer((1,), Clock(ms), None) for x in f.itertuples(index=False, name=None)]
+        assert sorted(out) == [(1, i, i > 7 and i % 7 < 3) for i in range(1, n) if i % 7]
+        return len(handle.calls)
+
+    assert run(700) == run(70) < 25
+
+
 def put(spark, rows):
     return spark.createDataFrame([(*r, 0, False) if len(r) == 2 else r for r in rows], "id long, v string, `order` int, gone boolean")
 
