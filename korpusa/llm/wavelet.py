@@ -249,11 +249,13 @@ class PieceTokenizer:
             out += [data[x:y] for x, y in zip([0, *cut], cut, strict=False)]
         return out
 
-    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
         if len(self.parts) > MOST_PIECES:
             self.parts = {"": b""}
-        parts, unknown, halves, rest = self.parts, {}, [], []
-        for w in fresh:
+        parts, halves, rest = self.parts, [], []
+        plain = [w for w in fresh if w.isascii() and w.isalpha()]
+        unknown = dict.fromkeys(w for w in plain if w not in parts)
+        for w in fresh.difference(plain):
             a = w.rstrip(PUNCTUATION)
             # composition and lower-casing must leave no mark that would join what follows
             if a in parts or (a.isalpha() and (a.isascii() or unicodedata.normalize("NFC", a).lower().isalpha())):
@@ -267,28 +269,27 @@ class PieceTokenizer:
                 rest.append(w)
         names = list(unknown)
         parts.update(zip(names, self._together(names), strict=True))
-        found = {w: parts[a] + parts[b] for w, a, b in halves}
+        found = dict(zip(plain, map(parts.__getitem__, plain), strict=True))
+        found.update((w, parts[a] + parts[b]) for w, a, b in halves)
+        found.update(zip(rest, self._alone(rest), strict=True))
         for p in names:
             if len(p) > LONG:
                 del parts[p]
-        return found | dict(zip(rest, self._alone(rest), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        known, get = self.known, self.known.get
+        known = self.known
         pieces = [None if self.odd(t) else t.split() for t in texts]
-        ids = [None if p is None else list(map(get, p)) for p in pieces]
-        fresh = {w for p, x in zip(pieces, ids, strict=True) if p for w, y in zip(p, x, strict=True) if y is None}
-        found = self._learn(list(fresh))
-        known.update((w, x) for w, x in found.items() if len(w) <= LONG)
-        out = []
-        for t, p, x in zip(texts, pieces, ids, strict=True):
-            if p is None:
-                out.append(self._alone([t])[0])
-            else:
-                out.append(b"".join(x) if None not in x else b"".join([found[w] if y is None else y for w, y in zip(p, x, strict=True)]))
+        fresh = set().union(*filter(None, pieces)).difference(known)
+        known.update(self._learn(fresh))
+        get = known.__getitem__
+        out = [self._alone([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
+        for w in fresh:
+            if len(w) > LONG:
+                del known[w]
         return out
 
 
