@@ -23,16 +23,16 @@ doc_id and text are read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import unicodedata
 import uuid
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import shared_folder, table
 
 MAGIC, END_ID, SHARD_TOKENS, BLOCK_BITS, PIECE_BITS = b"KWM2", 1, 1 << 20, 512, 1 << 17
-#: Remembered pieces a worker; a full table is emptied. Longer pieces are not remembered.
-MOST_PIECES, LONG = 800_000, 48
-ROWS_AT_ONCE = 512
+#: Remembered pieces a worker and bytes of their ids; a full table is emptied.
+MOST_PIECES, MOST_BYTES = 800_000, 32 << 20
+#: Places in the table of pieces: words to be asked whole, and the empty piece.
+ALONE, NOTHING = 0, 1
+TEXT_AT_ONCE, ROWS_AT_ONCE = 6 << 20, 512
 #: ASCII punctuation that no contraction begins with.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -211,36 +213,42 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
 
 class PieceTokenizer:
-    """The tokenizers library, asked once for each distinct word.
+    """The tokenizers library, asked once for each distinct piece of a word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces. A piece of letters and then punctuation is two pre-tokens; such parts are sent many at a
+    words. Texts are split into words as Arrow columns, and only the different words of a batch meet Python. A
+    word of letters and then punctuation is two pre-tokens; such halves are sent many at a
     time, and the end-of-word mark on each pre-token's last id tells them apart again (checked: as
-    many marks as parts, else one by one). Other pieces are sent alone, and texts with the control
-    characters that only Python counts as white space go whole.
+    many marks as halves, else one by one). Runs of ASCII letters go in small ones, so that normaliser and
+    pre-tokenizer have nothing to do for them but cut at the blanks. Other words are sent alone, and texts with the control characters that only Python and Arrow count as white space go whole.
     """
 
-    odd = re.compile("[\x1c-\x1f]").search
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.small = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.small.normalizer, self.small.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table: packed ids by number, with the numbers of halves (ALONE: the whole word must be asked) and of whole words."""
+        self.table = pa.array([b"", b""], pa.large_binary())
+        self.halves: dict[str, int] = {"": NOTHING}
+        self.whole: dict[str, int] = {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str], small: bool = False) -> list[bytes]:
         out: list[bytes] = []
+        ask = (self.small if small else self.tokenizer).encode_batch_fast
         for at in range(0, len(words), 256):
             group = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(ask([" ".join(group)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids])
             if len(ends) != len(group):
                 out += self._alone(group)
@@ -249,50 +257,71 @@ class PieceTokenizer:
             out += [data[x:y] for x, y in zip([0, *cut], cut, strict=False)]
         return out
 
-    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
-        if len(self.parts) > MOST_PIECES:
-            self.parts = {"": b""}
-        parts, halves, rest = self.parts, [], []
-        plain = [w for w in fresh if w.isascii() and w.isalpha()]
-        unknown = dict.fromkeys(w for w in plain if w not in parts)
-        for w in fresh.difference(plain):
-            a = w.rstrip(PUNCTUATION)
-            # composition and lower-casing must leave no mark that would join what follows
-            if a in parts or (a.isalpha() and (a.isascii() or unicodedata.normalize("NFC", a).lower().isalpha())):
-                b = w[len(a) :]
-                halves.append((w, a, b))
-                if a not in parts:
-                    unknown[a] = None
-                if b not in parts:
-                    unknown[b] = None
-            else:
-                rest.append(w)
-        names = list(unknown)
-        parts.update(zip(names, self._together(names), strict=True))
-        found = dict(zip(plain, map(parts.__getitem__, plain), strict=True))
-        found.update((w, parts[a] + parts[b]) for w, a, b in halves)
-        found.update(zip(rest, self._alone(rest), strict=True))
-        for p in names:
-            if len(p) > LONG:
-                del parts[p]
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, numbers: dict[str, int], names: list[str], ask: Callable[[list[str]], list[bytes]]) -> None:
+        numbers.update(zip(names, range(len(self.table), len(self.table) + len(names)), strict=True))
+        self.table = pa.concat_arrays([self.table, pa.array(ask(names), pa.large_binary())])
+
+    def _packed(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Packed ids of each of some different words."""
+        stem = pc.ascii_rtrim(words, PUNCTUATION)
+        words = pc.if_else(pc.ascii_is_alpha(stem), pc.ascii_lower(words), words)
+        first = offsets(words)
+        cut = np.empty(2 * len(words) + 1, np.int32)
+        cut[::2], cut[1::2] = first, first[:-1] + pc.binary_length(stem).to_numpy()
+        # letters and punctuation in turn, in the words' own bytes
+        coded = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(cut), words.buffers()[2]).dictionary_encode()
+        names, halves = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.halves  # objects made in one call
+        fresh = [(x, a) for x, a in zip(names, pc.ascii_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False).tolist(), strict=True) if x not in halves]
+        self._learn(halves, [x for x, ascii_letters in fresh if ascii_letters], partial(self._together, small=True))
+        others = {x: divides(x) for x, ascii_letters in fresh if not ascii_letters}
+        halves.update((x, ALONE) for x, plain in others.items() if not plain)
+        self._learn(halves, [x for x, plain in others.items() if plain], self._together)
+        number = np.array([halves[x] for x in names], np.int64)[coded.indices.to_numpy()]
+        if len(odd := np.flatnonzero(number[::2] == ALONE)):
+            names = words.take(pa.array(odd)).to_pylist()
+            self._learn(self.whole, [x for x in dict.fromkeys(names) if x not in self.whole], self._alone)
+            number[2 * odd], number[2 * odd + 1] = [self.whole[x] for x in names], NOTHING
+        return every_nth(self.table.take(pa.array(number)), np.arange(0, 2 * len(words) + 1, 2))
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        known = self.known
-        pieces = [None if self.odd(t) else t.split() for t in texts]
-        fresh = set().union(*filter(None, pieces)).difference(known)
-        known.update(self._learn(fresh))
-        get = known.__getitem__
-        out = [self._alone([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
-        for w in fresh:
-            if len(w) > LONG:
-                del known[w]
+        if len(self.halves) + len(self.whole) > MOST_PIECES or self.table.nbytes > MOST_BYTES:
+            self._forget()
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        ids = every_nth(self._packed(coded.dictionary).take(coded.indices), offsets(lists) - lists.offsets[0].as_py())
+        data, at = (ids.buffers()[2] or b"") and ids.buffers()[2].to_pybytes(), offsets(ids).tolist()
+        out = [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+        for i in np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._alone([texts[i].as_py()])[0]
         return out
 
 
+def divides(half: str) -> bool:
+    """Whether a word's part is a pre-token of its own: punctuation, or letters after whose composition and lower-casing no mark would join what follows."""
+    return not half.strip(PUNCTUATION) or (half.isalpha() and (half.isascii() or unicodedata.normalize("NFC", half).lower().isalpha()))
+
+
+def offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a column of strings, bytes or lists begin, and the end."""
+    wide = pa.types.is_large_binary(column.type)
+    return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)) if len(column) else np.zeros(1, np.int64)
+
+
+def every_nth(column: pa.LargeBinaryArray, at: np.ndarray) -> pa.LargeBinaryArray:
+    """Neighbouring values joined: those from each place to the next."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets(column)[at])), column.buffers()[2]])
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All rows in order, about TEXT_AT_ONCE bytes of text at a time, a row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(size) - size) // TEXT_AT_ONCE
+    cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    yield from (batch.slice(x, y - x) for x, y in zip(cut, cut[1:], strict=False))
+
+
 @cache
 def tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
@@ -318,10 +347,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
             )
 
         for whole in batches:
-            for at in range(0, len(whole), ROWS_AT_ONCE):
-                b = whole.slice(at, ROWS_AT_ONCE)
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                for d, x in zip(b.column("doc_id").to_pylist(), t.encode(texts), strict=True):
+            for b in portions(whole):
+                for d, x in zip(b.column("doc_id").to_pylist(), t.encode(pc.fill_null(b.column("text"), "")), strict=True):
                     n = len(x) // t.kind.itemsize + 1
                     if held and held + n > SHARD_TOKENS:
                         yield flush()

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from korpusa.llm import wavelet as W
@@ -40,6 +41,38 @@ def test_pieces_equal_the_library():
         assert np.frombuffer(packed, t.kind).tolist() == t.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_different_words_meet_the_library_once():
+    t, asked = W.PieceTokenizer(PATH), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(w for x in texts for w in x.split())
+            return self.of.encode_batch_fast(texts, **how)
+
+    whole, t.tokenizer, t.small = t.tokenizer, Counted(t.tokenizer), Counted(t.small)
+    texts = ["Word word, WORD! (word) J\u030c j\u030c. \u0130a, don't DON'T x1 x1. \u03a3\u03a3 <|ENDOFTEXT|> <|endoftext|>", "", "word, " * 50]
+    want = [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, t.kind).tolist() for x in t.encode(texts)] == want
+    assert asked.count("word") == 1 and asked.count(",") == 1 and "Word" not in asked
+    asked.clear()
+    assert [np.frombuffer(x, t.kind).tolist() for x in t.encode(texts)] == want and not asked
+
+
+def test_long_texts_come_in_portions(monkeypatch):
+    monkeypatch.setattr(W, "TEXT_AT_ONCE", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 30, "", "abcd", "abcdefgh"])], ["text"])
+    got = [x.column("text").to_pylist() for x in W.portions(b)]
+    assert [y for x in got for y in x] == b.column("text").to_pylist() and len(got) == 2
+    assert sum(map(len, W.portions(b.slice(0, 0)))) == 0
+    t = W.PieceTokenizer(PATH)
+    column = pa.array(["skipped", "A b.", "", " c\x1cd "]).slice(1)
+    assert t.encode(column) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, t.kind).tobytes() for x in column.to_pylist()]
+    assert t.encode([]) == []
+
+
 def test_files_and_offsets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(W, "SHARD_TOKENS", 20)
     rows = [(i, " ".join(["word"] * (i % 7)) if i % 5 else None) for i in range(60)] + [(3, "again"), (3, "again"), (None, "x y"), (200, "long " * 100)]
