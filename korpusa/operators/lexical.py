@@ -32,6 +32,11 @@ def search_text(*fields: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.array(*[f.cast("string") for f in fields]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), " ")
 
 
+def joined_tokens(text: Column | str) -> Column:
+    """A text's tokens as one string: they hold no spaces, and strings cross to Python faster than arrays."""
+    return F.array_join(tokens(text), " ")
+
+
 def split_tokens(column: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
     """Number of tokens of each row of space-joined tokens, and all tokens in order."""
     lists = pc.split_pattern(column, " ")
@@ -73,13 +78,14 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None, kinds: tuple[str, ...] = ("bm25", "overlap")) -> DataFrame:
     """``(kind, query_id, id, score, rank)``: k best of ``docs(id, text)`` for each of ``queries(query_id, text)``.
 
+    ``docs`` may hold ``toks``, its texts' joined_tokens(), instead of texts. It is read up to three times: give a written table
+    when its rows are costly to make.
     kind is one of ``kinds``: ``bm25`` (score above 0) or ``overlap`` (distinct tokens that text and question share). A term
     that a question repeats counts as often. Scores are rounded to 6 places; ties go to the smaller id.
     ``same`` names a column of both that must agree (a document scope, applied before ranking).
     """
     keep = [same] if same else []
-    # tokens travel to Python as one string a text: they hold no spaces, and strings cross faster than arrays
-    toks = docs.select("id", F.array_join(tokens("text"), " ").alias("toks"), *keep)
+    toks = docs.select("id", "toks" if "toks" in docs.columns else joined_tokens("text").alias("toks"), *keep)
     n, asked = docs.count(), asked_terms(queries)
     if not n:
         return _ranked(docs.sparkSession.createDataFrame([], "kind string, query_id long, id long, score double"), k)
@@ -137,10 +143,12 @@ def best(docs: DataFrame, queries: DataFrame, k: int, same: str | None = None, k
                     scores = np.round(f @ w, 6).T if kind == "bm25" else np.rint(g @ has).T
                     scores = np.where((scores > 0) & allowed, scores, -np.inf)
                     s0, i0 = kept[kind]
-                    s = np.concatenate([s0[lo : lo + len(scores)], scores], axis=1)
-                    i = np.concatenate([i0[lo : lo + len(scores)], np.broadcast_to(ids, scores.shape)], axis=1)
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    s0[lo : lo + len(scores)], i0[lo : lo + len(scores)] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                    # a score below a question's k-th can't enter; most questions have none above it
+                    reach = (scores > -np.inf) & (scores >= s0[lo : lo + len(scores), -1:])
+                    for at in np.flatnonzero(reach.any(axis=1)).tolist():
+                        s, i = np.append(s0[lo + at], scores[at, reach[at]]), np.append(i0[lo + at], ids[reach[at]])
+                        order = np.lexsort((i, -s))[:k]
+                        s0[lo + at], i0[lo + at] = s[order], i[order]
         for kind, (s, i) in kept.items():
             r, c = np.nonzero(s > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(r), pa.string()), pa.array(query[r], pa.int64()), pa.array(i[r, c]), pa.array(s[r, c])], ["kind", "query_id", "id", "score"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import display_score, snippet
@@ -54,17 +54,23 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.withColumn("k", F.when(F.col("kind").isin("table", "indikator"), K_TECHNICAL).otherwise(K))
 
 
+def searched() -> Column:
+    """Joined tokens of a chunk's paths, headers and text."""
+    return lexical.joined_tokens(lexical.search_text(*[F.col(c) for c in ("hierarchy", "context_header", "bab", "pasal", "ayat", "text")]))
+
+
 def ranked_lists(chunks: DataFrame, asked: DataFrame, chunk_vectors: DataFrame, asked_vectors: DataFrame, same: str | None = None) -> dict[str, DataFrame]:
     """The ranked lists ``(query_id, id, rank)`` of every question by name.
 
     vector: k of ``chunk_vectors(id, vec)`` for each variant of ``asked_vectors(query_id, variant, vec)``, one variant
     after the other; bm25: 2 k over paths, headers and text; table and indicator: literal numbers.
     ``same`` names a column of questions and chunks (and of both vector tables) that must agree before ranking.
+    ``chunks`` may hold their searched() tokens as ``toks``.
     """
     keep = (same,) if same else ()
     ks = F.broadcast(asked.select("query_id", "k"))  # two numbers a question
-    text = lexical.search_text(*[F.col(c) for c in ("hierarchy", "context_header", "bab", "pasal", "ayat", "text")])
-    words = lexical.bm25(chunks.select("id", text.alias("text"), *keep), asked.select("query_id", "text", *keep), 2 * K_TECHNICAL, same)
+    toks = F.col("toks") if "toks" in chunks.columns else searched()
+    words = lexical.bm25(chunks.select("id", toks.alias("toks"), *keep), asked.select("query_id", "text", *keep), 2 * K_TECHNICAL, same)
     # a question has at most six variants: both numbers travel as one key
     keyed = asked_vectors.select((F.col("query_id") * 8 + F.col("variant")).alias("query_id"), "vec", *keep)
     near = vectors.top_cosine(chunk_vectors, keyed, K_TECHNICAL, same)
@@ -99,7 +105,8 @@ def answer_sources(chunks: DataFrame, asked: DataFrame, lists: dict[str, DataFra
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    chunks, asked = chunk_table(spark, sf_dir), questions(spark, sf_dir)
+    # five passes read the chunks and two their tokens: both are made once
+    chunks, asked = written(chunk_table(spark, sf_dir).withColumn("toks", searched()), "chunks"), questions(spark, sf_dir)
     given = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     variants = asked.select("query_id", F.posexplode(expand_query("text")).alias("variant", "v"))
     wanted = variants.select("query_id", "variant", (F.abs("query_id") + F.col("variant")).alias("vec_id"))

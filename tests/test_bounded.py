@@ -7,6 +7,7 @@ from korpusa.operators import chunkers as C
 from korpusa.operators import documents as D
 from korpusa.operators import lexical, lexical_index, structure, vectors
 from korpusa.operators.batches import sliced
+from korpusa.plans import composed
 
 TEXT = "EVALUASI\nKesimpulan\nbaik\nTindak Lanjut dan Rekomendasi\n1. Urusan:\n● aksi\nBAB I\nPENDAHULUAN\nA. Latar\nisi"
 
@@ -52,3 +53,21 @@ def test_all_searches_in_small_blocks_give_the_same(spark, monkeypatch):
     want = sorted(map(tuple, vectors.top_cosine(data, asked, 3).collect()))
     monkeypatch.setattr(vectors, "ASKED", 7)
     assert sorted(map(tuple, vectors.top_cosine(data, asked, 3).collect())) == want and len(want) == 120
+
+
+def test_chunks_and_their_tokens_are_made_once(spark, sf):
+    chunks, asked, of_chunks, of_asked = composed._inputs(spark, sf)
+    assert "Generate" not in plan(chunks) and "regexp" not in plan(chunks)
+    made = composed.chunk_table(spark, sf)
+    assert sorted(map(tuple, chunks.drop("toks").collect())) == sorted(map(tuple, made.collect()))
+    rows = lambda c: sorted(map(tuple, composed.ranked_lists(c, asked, of_chunks, of_asked)["bm25"].collect()))
+    assert rows(chunks) == rows(made) != []
+
+
+def test_ties_across_pieces_go_to_the_smaller_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "satu" if i % 3 else "satu dua") for i in range(60, 0, -1)] + [(i, "lain kata") for i in range(100, 300)], "id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "satu"), (2, "dua satu"), (3, "tiga")], "query_id long, text string")
+    want = sorted(map(tuple, lexical.best(docs, asked, 4).collect()))
+    assert [r[2] for r in want if r[:2] == ("overlap", 1)] == [1, 2, 3, 4] and {r[1] for r in want} == {1, 2}
+    monkeypatch.setattr(lexical, "TEXTS", 2)
+    assert sorted(map(tuple, lexical.best(docs, asked, 4).collect())) == want
