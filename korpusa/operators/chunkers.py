@@ -10,12 +10,14 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..sources.formats import written
 from .automata import HERE, Machine, run
-from .documents import HEADING, guide_parts, guideline_parts, joined, report_parts
+from .batches import sliced
+from .documents import HEADING, guide_parts, guideline_parts, joined, parts_of_regulation, regulation_header, report_parts
 from .parsers import split_rows
 from .structure import SIZES, split_recursively
 
@@ -172,6 +174,62 @@ def chunk_regulations(parts: DataFrame, headers: DataFrame, size: tuple[int, int
     return _numbered([_chunks(articles, **same), _chunks(cut(top, *size)), _chunks(cut(tail, *size), bagian=F.lit("Lampiran"))], "peraturan")
 
 
+def _regulation_chunks(text: str, title: str, size: tuple[int, int]) -> Iterator[tuple]:
+    """``(hierarchy, bab, bagian, pasal, ayat, text)`` of one regulation's chunks by place, short ones too: what chunk_regulations() gives."""
+    path = lambda *parts: " > ".join(filter(None, parts))
+    units: dict[int, tuple[dict, Pack | None, bool]] = {}  # by place; whether an article has more than its name
+    for part in parts_of_regulation(text):
+        if part["kind"] in ("preamble", "appendix"):
+            units[part["n"]] = part, None, True
+            continue
+        lead, at = part["kind"] != "clause", part["pasal_at"] if part["kind"] == "clause" else part["n"]
+        _, pack, some = units.setdefault(at, (part, Pack(), False))
+        pasal, label = f"Pasal {part['pasal']}" if part["pasal"] else "", None if lead else f"({part['ayat']})"
+        told = "\n".join(filter(None, (pasal, part["text"]))) if lead else f"{label} {part['text']}"
+        pack.eval({"unit": None, "lead": lead, "label": label, "text": told}, *size, "\n", False)
+        units[at] = units[at][0], pack, some or not lead or part["text"] != ""
+    for part, pack, some in units.values():
+        if pack is None:
+            tail = part["kind"] == "appendix"
+            for piece, _, _ in limited(part["text"], *size):
+                yield f"{title} > Lampiran" if tail else "Pembukaan", None, "Lampiran" if tail else None, None, None, piece
+        elif some:  # an article of a name only has nothing to say
+            bab = "" if part["bab"] is None else " - ".join(filter(None, (f"BAB {part['bab']}", part["bab_title"])))
+            bagian, pasal = part["bagian"] or "", f"Pasal {part['pasal']}" if part["pasal"] else ""
+            for _, _, label, piece in pack.terminate():
+                ayat = f"Ayat {label}" if label else ""
+                yield path(title, bab, bagian, pasal, ayat), bab, bagian, pasal, ayat, piece
+
+
+def chunk_regulation_texts(docs: DataFrame, size: tuple[int, int] = SIZES["peraturan"], held: int = 2048) -> DataFrame:
+    """The chunks that chunk_regulations() gives of the lines of ``docs(doc_id, text)``, each text in one pass where its row is: nothing is shuffled or written."""
+    title = F.trim(F.concat_ws(" ", "jenis", "nomor", F.lit("Tahun"), "tahun")).alias("title")
+    rows = regulation_header(docs.where("text is not null"), beside=("text",)).select("doc_id", "text", title)
+    told = ("hierarchy", "bab", "bagian", "pasal", "ayat", "text")
+
+    def batch(b: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        at, index, *columns = zip(*found, strict=True) if found else [()] * (2 + len(told))
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), *(pa.array(c, pa.string()) for c in columns)], ["doc_id", "chunk_index", *told])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            found = []
+            for at in range(len(b)):
+                for index, (*names, piece) in enumerate(_regulation_chunks(b.column("text")[at].as_py(), b.column("title")[at].as_py(), size)):
+                    if len(piece := piece.strip(" ")) >= LEAST:
+                        found.append((at, index, *names, piece))
+                    if len(found) >= held:
+                        yield batch(b, found)
+                        found = []
+            yield batch(b, found)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(go, f"doc_id {kind}, chunk_index int, " + ", ".join(f"{c} string" for c in told))
+    text, no = F.lit(None).cast("string"), F.lit(None).cast("int")
+    given = {"doc_type": F.lit("peraturan"), "chunk_part": no, "chunk_parts": no, "is_table": F.lit(False), "table_label": text}
+    return got.select("doc_id", "chunk_index", *[given[c].alias(c) if c in given else F.col(c) for c in ("doc_type", *COLUMNS) if c not in ("doc_id", "n", "piece")])
+
+
 def chunk_reports(paragraphs: DataFrame, size: tuple[int, int] = SIZES["laporan"]) -> DataFrame:
     """Chunks of ``report_paragraphs()``: paragraphs of a section packed with an empty line between them."""
     at = F.min("n").over(Window.partitionBy("doc_id", "heading", "section"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,8 +105,45 @@ def regulation_parts(lines: DataFrame, key: str = "doc_id", segment: int | None
     return parts.where(~empty).select(key, "n", "kind", *scoped, text.alias("text"))
 
 
-def regulation_header(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, jenis, nomor, tahun, tentang)`` from the lines of the first 1,500 characters, where a title page has them."""
+#: Which register tells parts of a kind apart, and which names they have; a kind without has one part a text.
+PLACES = {"intro": "bab_at", "article": "pasal_at", "clause": "ayat_at"}
+NAMES = {"intro": ("bab", "bab_title"), "article": ("bab", "bab_title", "bagian", "pasal"), "clause": ("bab", "bab_title", "bagian", "pasal", "ayat")}
+SPACE = " \t\n\x0b\f\r"
+
+
+def _stripped(x: str) -> str:
+    """What stripped() gives: a last line end that is no white space to it stays, less the white space before."""
+    return (x[:-1].rstrip(SPACE) + x[-1]).lstrip(SPACE) if x.endswith(("\x85", "\u2028", "\u2029")) else x.strip(SPACE)
+
+
+def parts_of_regulation(text: str) -> Iterator[dict]:
+    """The rows of regulation_parts() for one text, in order, with ``pasal_at``: one pass, for texts that stand in one row."""
+    lines = text.split("\n")
+    heads = [n for n, x in enumerate(lines) if n and x[:8].lower() == "lampiran"]
+    start = next((n for n in heads if lines[n - 1] == ""), heads[0] if heads else -1)
+    state, held, parts = 0, dict.fromkeys(REGULATION.registers), {}
+    for n, line in enumerate(lines):
+        state, sets, role = _regulation(state, line, n == start)
+        for r, v in sets.items():
+            held[r] = n if v == HERE else v
+        if role in ("chapter", "part"):
+            continue
+        kind = "article" if role == "body" else role
+        key = kind, held.get(PLACES.get(kind))
+        if key not in parts:
+            names = dict.fromkeys(("bab", "bab_title", "bagian", "pasal", "ayat")) | {c: held[c] for c in NAMES.get(kind, ())}
+            parts[key] = {"n": n, "kind": kind, "pasal_at": held["pasal_at"], **names, "lines": []}
+        parts[key]["lines"].append(ARTICLE.match(line.strip())[2] if role == "article" else line)
+    for part in parts.values():
+        whole = _stripped("\n".join(part.pop("lines")))
+        if part["kind"] == "clause":
+            whole = _stripped(re.sub(r"^\([0-9]+\)[ \t\n\x0b\f\r]*", "", whole))
+        if whole or part["kind"] == "article":
+            yield part | {"text": whole}
+
+
+def regulation_header(docs: DataFrame, key: str = "doc_id", text: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, jenis, nomor, tahun, tentang)`` from the lines of the first 1,500 characters, where a title page has them; other columns ``beside`` them."""
     lines = F.transform(F.split(F.substring(text, 1, 1500), "\n"), stripped)
     named = F.filter("l", lambda x: x.rlike(r"(?i)(?:PERATURAN|UNDANG|PERPRES|PERMEN|SURAT\s+EDARAN|NOMOR)") & x.rlike(r"(?i)NOMOR[:\s]+\d+[/\w.-]*\s+TAHUN\s+\d{4}"))
     kinds = F.filter("l", lambda x: x.rlike(r"(?i)^(?:PERATURAN|SURAT\s+EDARAN|KEPUTUSAN)") & (F.length(x) < 100))
@@ -117,11 +155,12 @@ def regulation_header(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i).rlike("(?i)TENTANG"))
     found = F.filter(F.transform(places, about), lambda x: stripped(x) != "")
-    rows = docs.select(key, F.coalesce(lines, F.array(F.lit(""))).alias("l"))
+    rows = docs.select(key, *beside, F.coalesce(lines, F.array(F.lit(""))).alias("l"))
     number = F.coalesce(F.get(named, F.lit(0)), F.lit(""))
     pattern = r"(?i)NOMOR[:\s]+(\d+[/\w.-]*)\s+TAHUN\s+(\d{4})"
     return rows.select(
         key,
+        *beside,
         F.coalesce(F.element_at(F.when(F.size(kinds) > 0, kinds), -1), F.lit("Peraturan")).alias("jenis"),
         F.regexp_extract(number, pattern, 1).alias("nomor"),
         F.regexp_extract(number, pattern, 2).alias("tahun"),
