@@ -192,3 +192,78 @@ def test_rows_of_equal_to_pylist():
     kind = pa.list_(pa.int64())
     b = pa.RecordBatch.from_arrays([pa.array(["a", None, "b"]), pa.array([[1, -1], None, []], kind), pa.array([1, 2, 3])], ["host", "masses", "c"])
     assert list(X.rows_of(b)) == b.to_pylist() and list(X.rows_of(b.slice(1))) == b.slice(1).to_pylist()
+
+
+def varied_page(i, entries):
+    menu = "".join(f"<li>{k % 7}={i}</li>" for k in range(entries))
+    return f"<body><ul>{menu}</ul><div><div><div><div><p>Story {i} {headed(i, 1500)[120:]}</p></div></div><div>see also {i * 13 % 7} {i}</div></div></div><div>all rights kept</div></body>"
+
+
+@pytest.mark.parametrize("entries", [5, 150, 390, 1500])
+def test_nodes_beyond_hundreds_that_vary_take_part_in_matching(entries):
+    """Entries that are another on each page are no constant nodes; matching of 400 nodes never came to the content below them."""
+    few, many = (json.dumps(X.induce([varied_page(i, n) for i in range(10)])) for n in (5, entries))
+    assert json.loads(many) == json.loads(few) and len(json.loads(many)["slot"]) > 3
+    got = X.main_text(varied_page(3, entries), many)
+    assert got == X.main_text(varied_page(3, 5), few) and got.startswith("Story 3") and "see also" not in got and "=" not in got
+
+
+def test_a_footer_behind_hundreds_of_varying_nodes_is_template():
+    page = lambda i: "<body>" + "".join(f"<div><p>{i} {k}</p></div>" for k in range(450 + i % 2)) + "<div><h2>All rights</h2></div></body>"
+    t = json.dumps(X.induce([page(i) for i in range(10)]))
+    texts = [X.main_text(page(i), t) for i in range(10)]
+    assert sum("rights" not in x for x in texts) == 5 and all(f"{i} 449" in x for i, x in enumerate(texts))  # the places of those like the reference
+
+
+def test_templates_of_large_pages_are_those_of_one_process(spark):
+    pages = [(f"h{g}.x", varied_page(i, 450 + i % g)) for g in (1, 3) for i in range(12)]
+    made = {r.host: r.template for r in X.templates(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert made == {f"h{g}.x": json.dumps(X.induce([p for x, p in pages if x == f"h{g}.x"])) for g in (1, 3)}
+
+
+def plain_mapping(a, b):
+    """Size and pairs of the largest mapping by the plain table over child lists."""
+    if a.node.label != b.node.label:
+        return 0, []
+    rows = [[(0, [])] * (len(b.kids) + 1)]
+    for x in a.kids:
+        new = [(0, [])]
+        for j, y in enumerate(b.kids):
+            n, pairs = plain_mapping(x, y)
+            both = rows[-1][j][0] + n, rows[-1][j][1] + pairs
+            new.append(max((rows[-1][j + 1], new[j], both), key=lambda c: c[0]))  # the first of equal ones
+        rows.append(new)
+    n, pairs = rows[-1][-1]
+    return n + 1, [(a, b), *pairs]
+
+
+@pytest.mark.parametrize("wide, cells, kept", [(64, 1 << 20, 100_000), (0, 1, 2), (2, 8, 20)])
+def test_matching_by_shape_against_the_plain_table(monkeypatch, wide, cells, kept):
+    for name, value in (("WIDE", wide), ("MOST_CELLS", cells), ("MOST_KEPT", kept)):
+        monkeypatch.setattr(X, name, value)
+    rng = random.Random(wide)
+    grow = lambda d: "".join(f"<{t}>{rng.choice('ab')}{grow(d - 1)}</{t}>" for t in rng.choices(["div", "b"], k=rng.randrange(6))) if d else ""
+    for _ in range(60):
+        a, b = (X.trimmed(X.measure(X.parse(grow(3)), digests=True)) for _ in range(2))
+        shapes = X.Shapes()
+        for top in (a, b):
+            shapes.number(X.breadth_first(top))
+        n, pairs = plain_mapping(a, b)
+        got = list(X.aligned(a, b, shapes))
+        assert n == len(got) == X.simple_tree_match(a, b, {}) == shapes.size(a.shape, b.shape)
+        assert {(id(x), id(y)) for x, y in got} == {(id(x), id(y)) for x, y in pairs}
+
+
+def test_matching_of_deep_and_wide_pages_is_bounded():
+    began, rng = time.time(), random.Random(4)
+    X.induce(["".join(f"<div>{rng.random()}" for _ in range(20_000)) for _ in range(4)])
+    X.induce([f"<body>{'<b>z</b>' * i}" + "".join(f"<p>{rng.random()}</p>" for _ in range(4_000 + i)) for i in range(4)])
+    assert time.time() - began < 40
+
+
+def test_decoded_parts_are_kept_by_their_size(monkeypatch):
+    monkeypatch.setattr(X, "MOST_CACHED", 10)
+    made = []
+    get = X.cached(lambda text: made.append(text) or len(text))
+    assert [get("aaaa"), get("bbbb"), get("aaaa"), get("cccccc"), get("aaaa"), get("bbbb")] == [4, 4, 4, 6, 4, 4]
+    assert made == ["aaaa", "bbbb", "cccccc", "bbbb"]
